@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import secrets, simhash
+from quillspark.llm import quality, secrets, simhash, warc
 from quillspark.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,15 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_secrets"] = op6_secrets
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(spark, load(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES |= {"op7_quality": op7_quality, "op8_warc": op8_warc}
