@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import quality, secrets, simhash, warc
+from quillspark.llm import ann, quality, secrets, simhash, warc
 from quillspark.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op7_quality": op7_quality, "op8_warc": op8_warc}
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(table, table.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+QUERIES["op10_ann"] = op10_ann
