@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, quality, secrets, simhash, warc
+from quillspark.llm import ann, quality, secrets, simhash, sitestyle, warc
 from quillspark.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,11 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_ann"] = op10_ann
+
+
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sitestyle.extract(load(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES["op1_html"] = op1_html
