@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, quality, secrets, simhash, sitestyle, warc
+from quillspark.llm import ann, mixing, quality, secrets, simhash, sitestyle, warc
 from quillspark.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,11 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_html"] = op1_html
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(load(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("places")).alias("taken"))
+
+
+QUERIES["op2_mixing"] = op2_mixing
