@@ -72,7 +72,8 @@ def _quotas(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """A row for each source: passes, blocks, where the last pass ends, and its loose documents.
 
     Of the last pass, blocks before ``whole`` are taken. Documents of the next blocks fill
-    up the remainder: a run in hashed order, then smaller ones that still fit.
+    up the remainder: a run in hashed order, then smaller ones that still fit, and one that
+    goes beyond if that ends nearer.
     """
     plan = goals.withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.lit(MAX_REPEATS), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int"))
     plan = plan.withColumn("rest", F.when(F.col("passes") < MAX_REPEATS, F.col("target") - F.col("passes") * F.col("source_size")).otherwise(0.0))
@@ -125,7 +126,16 @@ def _loose(dealt: DataFrame, plan: DataFrame) -> DataFrame:
         )
 
     able = F.array_sort(F.filter("others", lambda d: -d["minus"] <= F.col("left")))
-    chosen = run.select(F.col("source").alias("__s"), F.concat("run", F.aggregate(able, empty, fill, lambda s: s["ids"])).alias("loose"))
+    filled = run.select("source", "run", "others", F.explode(F.array(F.aggregate(able, empty, fill))).alias("filled"))
+    # One more document if it ends nearer to the goal, though beyond it.
+    beyond = F.array_min(
+        F.transform(
+            F.filter("others", lambda d: ~F.array_contains(F.col("filled.ids"), d["id"])), lambda d: F.struct(F.abs(F.col("filled.left") + d["minus"]).alias("off"), d["id"].alias("id"))
+        )
+    )
+    nearer = filled.select("source", "run", "filled", F.explode(F.array(beyond)).alias("beyond"))
+    more = F.when(F.col("beyond.off") < F.col("filled.left"), F.array("beyond.id")).otherwise(F.array().cast("array<bigint>"))
+    chosen = nearer.select(F.col("source").alias("__s"), F.concat("run", "filled.ids", more).alias("loose"))
     joined = plan.join(chosen, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
     nothing = F.array().cast("array<bigint>")
     partial = F.when(F.size(F.coalesce("loose", nothing)) > 0, F.least(F.col("blocks"), F.col("whole") + 4)).otherwise(F.col("whole"))
