@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, mixing, quality, secrets, simhash, sitestyle, warc
+from quillspark.llm import ann, decontaminate, mixing, quality, secrets, simhash, sitestyle, warc
 from quillspark.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_mixing"] = op2_mixing
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: how many items it overlaps, which, and the longest overlap."""
+    docs = load(spark, sf_dir, "documents")
+    found = decontaminate.overlaps(docs, load(spark, sf_dir, "benchmark"))
+    per_doc = found.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("tokens").alias("longest"), F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+    joined = docs.select("doc_id").join(per_doc, "doc_id", "left")
+    return joined.select(
+        "doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("longest", F.lit(0)).alias("longest_tokens"),
+        F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
+    )
+
+
+QUERIES["op9_decontaminate"] = op9_decontaminate
