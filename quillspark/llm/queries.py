@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, decontaminate, mixing, quality, secrets, simhash, sitestyle, warc
+from quillspark.llm import ann, decontaminate, lines, mixing, quality, secrets, simhash, sitestyle, warc
 from quillspark.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_decontaminate"] = op9_decontaminate
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its lines, how many were dropped, and a digest of the rest."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+    out = lines.drop_recurring(docs)
+    return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES["op5_lines"] = op5_lines
