@@ -7,6 +7,7 @@ batch of rows at a time.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -179,11 +180,15 @@ def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", sampl
     """A forest from the labelled rows that are not held out.
 
     At most ``sample_rows`` of them, those that come first by a hash of the id, reach
-    the driver. Null labels are left out; where an id has several, the largest counts.
+    the driver; a threshold on the hash keeps the rest from being sent at all. Null labels
+    are left out; where an id has several, the largest counts.
     """
     marked = labels.where(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).alias("y"))
     rows = stats.where(~held_out(F.col("doc_id"))).join(marked, "doc_id").select("doc_id", "x", "y")
-    taken = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("x", "y").toPandas()
+    n = stats.select("doc_id").where(~held_out(F.col("doc_id"))).join(marked, "doc_id").count()
+    if n > 2 * sample_rows:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil((1 << 20) * 1.2 * sample_rows / n))
+    taken = rows.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "doc_id").limit(sample_rows).select("x", "y").toPandas()
     if taken.empty:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.array(taken["x"].tolist(), np.float32), (taken["y"].to_numpy() > 0).astype(int))

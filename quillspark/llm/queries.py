@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, decontaminate, lines, mixing, quality, secrets, simhash, sitestyle, warc
+from quillspark.llm import ann, decontaminate, lines, mixing, quality, secrets, simhash, sitestyle, suffix, warc
 from quillspark.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,10 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_lines"] = op5_lines
+
+
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.substring_dedup(load(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES["op3_suffix"] = op3_suffix

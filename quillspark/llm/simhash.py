@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = durable(fingerprints(docs, id_col, text_col))
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = durable(connected_components(link_fingerprints(distinct)).select(F.col("node").alias("fp"), "root"))
+    roots = durable(connected_components(durable(link_fingerprints(distinct))).select(F.col("node").alias("fp"), "root"))
     classes = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(classes.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
