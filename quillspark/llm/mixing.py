@@ -220,35 +220,58 @@ def split_quotas(plan: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
     return runs.select(F.when(~F.col("last"), F.col("name")).alias("source"), F.slice(starts, 1, 1 << depth).alias("starts"))
 
 
+def _plan(rows: DataFrame, depth: int) -> DataFrame:
+    """One row ``__source, __plan`` for each source: all that places its documents."""
+    plan = _quotas(rows, durable(targets(rows)))
+    starts = split_quotas(plan, depth).withColumnRenamed("source", "__t")
+    joined = plan.join(starts, F.col("source").eqNullSafe(F.col("__t")))
+    fields = ("source_size", "target", "passes", "blocks", "whole", "loose", "starts")
+    return durable(joined.select(F.col("source").alias("__source"), F.struct(*fields).alias("__plan")))
+
+
+def _places(doc_id: Column, plan: Column) -> Column:
+    """A document's places: an array of ``pass, shard, at``."""
+    block = F.pmod(F.xxhash64(F.lit(SEED), doc_id), plan["blocks"])
+    extra = (block < plan["whole"]) | ((block < plan["whole"] + 4) & F.coalesce(F.array_contains(plan["loose"], doc_id), F.lit(False)))
+    times = F.when(plan["source_size"] > 0, plan["passes"] + F.when(extra, 1).otherwise(0)).otherwise(0)
+
+    def place(k: Column) -> Column:
+        unit = k * plan["blocks"] + block
+        shard = F.size(F.filter(plan["starts"], lambda s: s <= unit)) - 1
+        return F.struct(k.cast("int").alias("pass"), shard.cast("int").alias("shard"), F.xxhash64(F.lit(SEED + 2), doc_id, k).alias("at"))
+
+    return F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), place)).otherwise(F.array().cast("array<struct<pass:int,shard:int,at:bigint>>"))
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+
+
 def mix(docs: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
     """One row for each row of ``docs`` with the places that it has in the mix.
 
-    Columns: ``doc_id, size, source_size, target`` and ``places``, an array of
+    Columns: ``doc_id, source, size, source_size, target`` and ``places``, an array of
     ``pass, shard, at`` where ``at`` orders a shard's rows at random. A row without words
     (null or empty text) has size 0 and goes along with its block; a null source is the
     last source; repeated rows share their block and count each; a null doc_id is placed
     like any other but is never used to fill up a remainder; an empty table gives no
     rows. Only doc_id, source and text are read.
     """
-    rows = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
-    plan = _quotas(rows, durable(targets(rows)))
-    starts = split_quotas(plan, depth).withColumnRenamed("source", "__t")
-    whole = durable(plan.join(starts, F.col("source").eqNullSafe(F.col("__t"))).drop("__t").withColumnRenamed("source", "__s"))
-    block = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.col("blocks"))
-    joined = rows.join(whole.select("__s", "source_size", "target", "passes", "blocks", "whole", "loose", "starts"), F.col("source").eqNullSafe(F.col("__s"))).withColumn("__block", block)
-    extra = (F.col("__block") < F.col("whole")) | ((F.col("__block") < F.col("whole") + 4) & F.coalesce(F.array_contains("loose", F.col("doc_id")), F.lit(False)))
-    times = F.when(F.col("source_size") > 0, F.col("passes") + F.when(extra, 1).otherwise(0)).otherwise(0)
-
-    def place(k: Column) -> Column:
-        unit = k * F.col("blocks") + F.col("__block")
-        shard = F.size(F.filter("starts", lambda s: s <= unit)) - 1
-        return F.struct(k.cast("int").alias("pass"), shard.cast("int").alias("shard"), F.xxhash64(F.lit(SEED + 2), F.col("doc_id"), k).alias("at"))
+    rows = _measured(docs)
+    joined = rows.join(_plan(rows, depth), F.col("source").eqNullSafe(F.col("__source")))
+    places = _places(F.col("doc_id"), F.col("__plan"))
+    return joined.select("doc_id", "source", "size", F.col("__plan.source_size").alias("source_size"), F.col("__plan.target").alias("target"), places.alias("places"))
 
-    places = F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), place)).otherwise(F.array().cast("array<struct<pass:int,shard:int,at:bigint>>"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", places.alias("places"))
 
+def mixed_documents(docs: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each of its places, with ``mix_shard`` and ``mix_pass``.
 
-def write_order(mixed: DataFrame) -> DataFrame:
-    """A row for each place: the shards' rows, each shard sorted by its local shuffle."""
-    rows = mixed.select("doc_id", "source", F.explode("places").alias("p")).select("doc_id", "source", "p.pass", "p.shard", "p.at")
-    return rows.repartition("shard", F.pmod("at", F.lit(64))).sortWithinPartitions("shard", "at")
+    Shards come as runs of partitions, shuffled locally. What is null, empty or repeated
+    is as in ``mix``; a document that the mix takes no time has no row.
+    """
+    own = [c for c in docs.columns if c not in ("mix_shard", "mix_pass")]
+    plan = _plan(_measured(docs), depth)
+    joined = docs.join(plan, docs["source"].cast("string").eqNullSafe(F.col("__source")))
+    placed = joined.select(*[docs[c] for c in own], F.explode(_places(docs["doc_id"].cast("long"), F.col("__plan"))).alias("__place"))
+    rows = placed.select(*own, F.col("__place.shard").alias("mix_shard"), F.col("__place.pass").alias("mix_pass"), F.col("__place.at").alias("__at"))
+    return rows.repartition(F.col("mix_shard"), F.pmod("__at", F.lit(16))).sortWithinPartitions("mix_shard", "__at").drop("__at")
