@@ -15,6 +15,8 @@ CJK = r"[㐀-䶿一-鿿豈-﫿]"
 FORMULA = r"(?iu)(?:\d+(?:\.\d+)?\s*[×x÷/*+−–—=-]\s*)+\d+(?:\.\d+)?|[λμσαβγθπ]\s*=\s*[^\s,.;]+"
 SENTENCE_END = r"[.!?。！？][\"'’”)]*$"
 STABLE_SENTENCE = r"[^.!?。！？…]+[.!?。！？…]+[\"'”’»)]*"
+#: The same, or an unfinished end: it never fails where it starts, so a search for all is linear.
+STABLE_RUN = r"[^.!?。！？…]++(?:[.!?。！？…]++[\"'”’»)]*+|\z)"
 CONTROL = r"[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f]"
 
 
@@ -106,13 +108,16 @@ def formulas(x: Column) -> Column:
 
 def stable_sentences(x: Column) -> Column:
     """Finished sentences of a growing text: runs that end in a terminator, with closers."""
-    found = F.regexp_extract_all(normalise_space(x), F.lit(STABLE_SENTENCE), 0)
-    return F.filter(F.transform(found, normalise_space), lambda s: s != "")
+    runs = F.regexp_extract_all(normalise_space(x), F.lit(STABLE_RUN), 0)
+    return F.filter(F.transform(F.filter(runs, lambda s: s.rlike("[.!?。！？…]")), normalise_space), lambda s: s != "")
 
 
 def unfinished_tail(x: Column) -> Column:
-    """What follows the last finished sentence."""
-    return normalise_space(F.regexp_replace(normalise_space(x), STABLE_SENTENCE, ""))
+    """What follows the last finished sentence; the whole text where there is none."""
+    text = normalise_space(x)
+    rest = F.regexp_extract(text, r"(?<![^.!?。！？…])[^.!?。！？…]*+$", 0)
+    finished = text.rlike(r"[^.!?。！？…][.!?。！？…]")
+    return normalise_space(F.when(finished, F.regexp_replace(rest, "^[\"'”’»)]*", "")).otherwise(text))
 
 
 def token_estimate(x: Column) -> Column:
@@ -138,11 +143,16 @@ def whole_phrase(text: Column, phrase: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.array_join(words(phrase), " "), F.lit(" ")))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` over a value that is computed once, also where lambdas use it again and again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def has_repeated_ngram(x: Column, n: int = 5) -> Column:
     """Whether ``n`` tokens are followed at once by the same ``n``."""
-    t = tokens(x)
-    return F.when(F.size(t) < 2 * n, F.lit(False)).otherwise(
-        F.exists(F.sequence(F.lit(1), F.size(t) - 2 * n + 1), lambda i: F.slice(t, i, n) == F.slice(t, i + n, n))
+    return let(
+        tokens(x),
+        lambda t: F.when(F.size(t) < 2 * n, F.lit(False)).otherwise(F.exists(F.sequence(F.lit(1), F.size(t) - 2 * n + 1), lambda i: F.slice(t, i, n) == F.slice(t, i + n, n))),
     )
 
 
@@ -158,10 +168,12 @@ def equivalent_token(a: Column, b: Column) -> Column:
 
 def token_coverage(source: Column, output: Column) -> Column:
     """The share of the source's meaningful tokens that an equivalent output token covers; 1 without any."""
-    have = F.array_distinct(meaningful_tokens(output))
-    want = meaningful_tokens(source)
-    matched = F.size(F.filter(want, lambda t: F.array_contains(have, t) | F.exists(have, lambda o: equivalent_token(t, o))))
-    return F.when(F.size(want) == 0, F.lit(1.0)).otherwise(matched / F.size(want))
+
+    def matched(want: Column, have: Column) -> Column:
+        hits = F.filter(want, lambda t: F.array_contains(have, t) | F.exists(have, lambda o: equivalent_token(t, o)))
+        return F.when(F.size(want) == 0, F.lit(1.0)).otherwise(F.size(hits) / F.size(want))
+
+    return let(F.array_distinct(meaningful_tokens(output)), lambda have: let(meaningful_tokens(source), lambda want: matched(want, have)))
 
 
 def markup_to_text(x: Column) -> Column:

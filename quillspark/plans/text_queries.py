@@ -86,7 +86,10 @@ def stable_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(load(spark, sf_dir, "documents"))
 
 
-@query(f"""SELECT doc_id, {d_space(f"regexp_replace({d_space('text')}, '{T.STABLE_SENTENCE.replace(chr(39), chr(39) * 2)}', '', 'g')")} AS tail FROM documents""")
+D_TAIL = f"regexp_extract({d_space('text')}, '[^.!?。！？…]*$')"
+
+
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches({d_space("text")}, '[^.!?。！？…][.!?。！？…]') THEN {d_space(f"regexp_replace({D_TAIL}, '^[\"''”’»)]*', '')")} ELSE {d_space("text")} END AS tail FROM documents""")
 def unfinished_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", T.unfinished_tail(F.col("text")).alias("tail"))
 
