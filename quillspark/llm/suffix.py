@@ -40,9 +40,9 @@ from quillspark.session import durable
 THRESHOLD = 50
 GRAM = 24
 WINDOW = THRESHOLD - GRAM + 1
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Ranks that a range of a round holds, about.
-RANGE_RANKS = 1_000_000
+RANGE_RANKS = 2_000_000
 _U = np.uint64
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _C, _D = _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -67,13 +67,16 @@ class Ranks:
             self.by[2 * k] = _pair(self.by[k][:-k], self.by[k][k:])
             k *= 2
 
-    def least(self) -> np.ndarray:
-        """For each 50-byte string the least rank of the 24-byte strings in it."""
+    def least(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each 50-byte string the least rank of the 24-byte strings in it, as runs: starts and ranks."""
         grams = _pair(self.by[16][:-8], self.by[8][16:])
         k = 1
         while 2 * k <= WINDOW:
             grams, k = np.minimum(grams[:-k], grams[k:]), 2 * k
-        return np.minimum(grams[: len(grams) - (WINDOW - k)], grams[WINDOW - k :]) if k < WINDOW else grams
+        if k < WINDOW:
+            grams = np.minimum(grams[: len(grams) - (WINDOW - k)], grams[WINDOW - k :])
+        starts = np.concatenate([[0], np.flatnonzero(grams[1:] != grams[:-1]) + 1])
+        return starts, grams[starts]
 
     def whole(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two names of the 50-byte strings at ``at``: their rank, and one to choose its range."""
@@ -214,7 +217,7 @@ class _Block:
 
     def grams(self, data: bytes, copied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least ranks of the block, sorted, and which of them two of its documents have."""
-        each = [np.unique(Ranks(raw).least()) for _, raw in self.documents(data, copied)]
+        each = [np.unique(Ranks(raw).least()[1]) for _, raw in self.documents(data, copied)]
         if not each:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
         names, counts = np.unique(np.concatenate(each), return_counts=True)
@@ -229,9 +232,9 @@ class _Block:
         found = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
         for k, raw in self.documents(data, copied) if len(shared) else ():
             ranks = Ranks(raw)
-            least = ranks.least()
-            near = np.minimum(np.searchsorted(shared, least), len(shared) - 1)
-            at = np.flatnonzero(shared[near] == least)
+            starts, least = ranks.least()
+            hit = shared[np.minimum(np.searchsorted(shared, least), len(shared) - 1)] == least
+            at = np.flatnonzero(np.repeat(hit, np.diff(np.append(starts, ranks.n))))
             if len(at):
                 found.append((np.full(len(at), k, np.int32), at.astype(np.int32), *ranks.whole(at)))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))  # type: ignore[return-value]
@@ -251,7 +254,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text is empty and loses nothing, as does a text of under 50 bytes and a row without
     an id, which takes no part. Repeated rows (equal ids) don't count against each other.
     An empty table gives no rows; other columns are not read. Two different strings are
-    taken for equal only if their ranks meet in 56 bits within a range of about a
+    taken for equal only if their ranks meet in 56 bits within a range of about two
     million, and two texts only if 128 bits of SHA-256 do.
     """
     spark = docs.sparkSession
