@@ -30,8 +30,21 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     return spark
 
 
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did.
+
+    Workers on other machines need it there too (``--py-files`` or an installed package).
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data directory; any path that Spark's readers can open."""
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
