@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from quillspark.session import share_code
+
 #: Rows that go back to Spark in one Arrow batch.
 OUT_ROWS = 4096
 
@@ -31,6 +33,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple[Any
     either at a time besides what ``rows`` keeps.
     """
     bound_batches(df.sparkSession)
+    share_code(df.sparkSession)
     schema = schema_of(ddl)
     names = schema.names
 
