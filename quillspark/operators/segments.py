@@ -143,3 +143,32 @@ def neighbour_after_delete(rows: DataFrame, key: str, order: str) -> DataFrame:
     """For each row the one to select when it is deleted: the next, else the previous."""
     w = Window.partitionBy("session").orderBy(order)
     return rows.select("session", key, F.coalesce(F.lead(key).over(w), F.lag(key).over(w)).alias("neighbour"))
+
+
+def public_session(sessions: DataFrame, private: tuple[str, ...] = ("stored_path", "extracted_text")) -> DataFrame:
+    """Sessions without their private columns, with whether they have a transcript."""
+    kept = sessions.drop(*private)
+    return kept.withColumn("has_transcript", F.length(F.trim(F.coalesce("transcript", F.lit("")))) > 0)
+
+
+def segment_texts(groups: DataFrame, segments: DataFrame) -> DataFrame:
+    """``session, paragraph, text`` of ``session, paragraph, ordinals``: each segment's text in order, missing ones empty."""
+    each = groups.select("session", "paragraph", F.posexplode("ordinals").alias("place", "ordinal"))
+    joined = each.join(segments.select("session", "ordinal", "text"), ["session", "ordinal"], "left")
+    return joined.groupBy("session", "paragraph").agg(ordered_text(F.col("place"), F.col("text")).alias("text"))
+
+
+def repair_totals(attempts: DataFrame) -> DataFrame:
+    """Accepted and rejected edits of each session over its windows' attempts, and whether any was kept."""
+    each = attempts.select("session", F.explode_outer("attempts").alias("a"))
+    totals = each.groupBy("session").agg(F.coalesce(F.sum("a.accepted"), F.lit(0)).alias("accepted"), F.coalesce(F.sum("a.rejected"), F.lit(0)).alias("rejected"))
+    return totals.withColumn("retained", F.col("accepted") > 0)
+
+
+def resume_plan(cases: DataFrame, done: DataFrame) -> DataFrame:
+    """``case, action`` for a rerun: what is complete under equal run and case fingerprints is kept."""
+    before = done.select("case", F.col("run_fp").alias("__run"), F.col("case_fp").alias("__case"), F.col("status").alias("__status"))
+    joined = cases.join(before, "case", "left")
+    same = F.col("run_fp").eqNullSafe(F.col("__run")) & F.col("case_fp").eqNullSafe(F.col("__case"))
+    action = F.when(F.col("__run").isNull(), "start").when(~F.col("run_fp").eqNullSafe(F.col("__run")), "refuse").when(same & (F.col("__status") == "complete"), "keep").otherwise("rerun")
+    return joined.select("case", action.alias("action"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import record_queries, scan_queries, text_queries
+from quillspark.plans import record_queries, scan_queries, text_queries, unit_queries
 
-MODULES = (text_queries, record_queries, scan_queries)
+MODULES = (text_queries, record_queries, scan_queries, unit_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
