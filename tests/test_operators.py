@@ -68,6 +68,20 @@ def test_retrieval_abstains_and_ranks(spark):
     assert [(r.doc_id, r.item_id, r.rank) for r in sorted(got, key=lambda r: (r.doc_id, r.rank))] == [(3, 0, 1), (3, 1, 2)]
 
 
+def test_full_evidence(spark):
+    items = spark.createDataFrame(
+        [(0, "Bayes theorem relates beliefs", "M1:S1", "a.md"), (1, "light theorem of optics", "M1:S2", "a.md"), (2, "A CNN sees pixels", "M1:S3", "a.md"), (3, "cnn in small letters", "M1:S4", "a.md")],
+        "item_id long, text string, label string, filename string",
+    )
+    docs = spark.createDataFrame([(1, "the base theorem"), (2, "our CNN today"), (3, "a right thing"), (4, "theorem")], "doc_id long, text string")
+    generic = (*retrieval.GENERIC_WORDS, "right", "light", "today")
+    ranked = retrieval.evidence(docs, items, generic=generic)
+    assert {(r.doc_id, r.item_id, r.near, r.acronym) for r in ranked.collect()} == {(1, 0, 1, 0), (2, 2, 0, 1)}
+    chosen = {r.doc_id: (r.item_ids, r.text) for r in retrieval.select_evidence(ranked, items).collect()}
+    assert chosen[1] == ([0], "--- [M1:S1] a.md ---\nBayes theorem relates beliefs")
+    assert retrieval.select_evidence(ranked, items, characters=10).first().item_ids == []
+
+
 def test_greedy_budget_goes_on_after_a_large_one(spark):
     rows = spark.createDataFrame([([10, 95, 30, 40, 5],)], "n array<int>")
     taken = rows.select(retrieval.greedy_budget(F.col("n"), lambda e: e, F.lit(60), 3).alias("t")).first().t
