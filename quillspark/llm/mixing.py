@@ -29,6 +29,8 @@ BLOCK_WORDS = 65_536
 SUPER_BLOCKS = 1024
 #: A document is taken so many times at most.
 MAX_REPEATS = 3
+#: Bytes of per-source rows up to which they are sent to every task; more are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 #: Output shards: two to this power.
 TREE_DEPTH = 5
 SEED = 20_231
@@ -68,6 +70,16 @@ def targets(sizes: DataFrame) -> DataFrame:
     return settled.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _small(per_source: DataFrame) -> DataFrame:
+    """A table with a row for each source (kept already), marked for broadcast if it is measured to be small.
+
+    Joining documents on their source by a shuffle would deal a hot source to one task.
+    """
+    lists = [F.coalesce(F.size(F.col(f)) * 8, F.lit(0)) for f in ("__plan.loose", "__plan.starts") if "__plan" in per_source.columns]
+    size = per_source.agg(F.sum(sum(lists, F.lit(256)))).first()[0] or 0
+    return F.broadcast(per_source) if size <= BROADCAST_BYTES else per_source
+
+
 def _quotas(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """A row for each source: passes, blocks, where the last pass ends, and its loose documents.
 
@@ -78,7 +90,8 @@ def _quotas(rows: DataFrame, goals: DataFrame) -> DataFrame:
     plan = goals.withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.lit(MAX_REPEATS), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int"))
     plan = plan.withColumn("rest", F.when(F.col("passes") < MAX_REPEATS, F.col("target") - F.col("passes") * F.col("source_size")).otherwise(0.0))
     plan = plan.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("source_size") / BLOCK_WORDS)).cast("long"))
-    dealt = _deal(rows, plan.select(F.col("source").alias("__s"), "blocks"))
+    plan = durable(plan)
+    dealt = _deal(rows, _small(plan.select(F.col("source").alias("__s"), "blocks")))
     sums = durable(dealt.groupBy("source", "block").agg(F.sum("size").alias("words")))
     supers = sums.groupBy("source", F.floor(F.col("block") / SUPER_BLOCKS).alias("super")).agg(F.sum("words").alias("in_super"))
     upto = supers.withColumn("base", F.sum("in_super").over(Window.partitionBy("source").orderBy("super")) - F.col("in_super"))
@@ -105,7 +118,7 @@ def _deal(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def _loose(dealt: DataFrame, plan: DataFrame) -> DataFrame:
     """``plan`` with the ids of the documents of loose blocks that the last pass takes."""
-    pool = dealt.join(plan.select(F.col("source").alias("__s"), "whole", "gap"), F.col("source").eqNullSafe(F.col("__s"))).where(
+    pool = dealt.join(_small(plan.select(F.col("source").alias("__s"), "whole", "gap")), F.col("source").eqNullSafe(F.col("__s"))).where(
         (F.col("gap") > 0) & (F.col("block") >= F.col("whole")) & (F.col("block") < F.col("whole") + 4) & F.col("doc_id").isNotNull()
     )
     docs = pool.groupBy("source", "block", "doc_id").agg(F.sum("size").alias("size"), F.max("gap").alias("gap")).where("size > 0")
@@ -258,7 +271,7 @@ def mix(docs: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
     rows. Only doc_id, source and text are read.
     """
     rows = _measured(docs)
-    joined = rows.join(_plan(rows, depth), F.col("source").eqNullSafe(F.col("__source")))
+    joined = rows.join(_small(_plan(rows, depth)), F.col("source").eqNullSafe(F.col("__source")))
     places = _places(F.col("doc_id"), F.col("__plan"))
     return joined.select("doc_id", "source", "size", F.col("__plan.source_size").alias("source_size"), F.col("__plan.target").alias("target"), places.alias("places"))
 
@@ -270,7 +283,7 @@ def mixed_documents(docs: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
     is as in ``mix``; a document that the mix takes no time has no row.
     """
     own = [c for c in docs.columns if c not in ("mix_shard", "mix_pass")]
-    plan = _plan(_measured(docs), depth)
+    plan = _small(_plan(_measured(docs), depth))
     joined = docs.join(plan, docs["source"].cast("string").eqNullSafe(F.col("__source")))
     placed = joined.select(*[docs[c] for c in own], F.explode(_places(docs["doc_id"].cast("long"), F.col("__plan"))).alias("__place"))
     rows = placed.select(*own, F.col("__place.shard").alias("mix_shard"), F.col("__place.pass").alias("mix_pass"), F.col("__place.at").alias("__at"))
