@@ -24,9 +24,9 @@ from quillspark.session import durable
 
 #: Vectors on which codebooks are fitted, at most.
 SAMPLE_ROWS = 8192
-CODEBOOKS, CODEWORDS, BEAM, ROUNDS = 8, 256, 4, 8
+CODEBOOKS, CODEWORDS, BEAM, ROUNDS = 16, 256, 4, 8
 #: Distinct vectors in an index block, queries in a query block, codes reranked for each pair of blocks.
-BLOCK_ROWS, QUERY_ROWS, RERANK = 8192, 1024, 256
+BLOCK_ROWS, QUERY_ROWS, RERANK = 8192, 1024, 512
 
 
 @dataclass
