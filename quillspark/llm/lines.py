@@ -8,9 +8,11 @@ variable fields, so a group is a template. A template that recurs across documen
 boilerplate: it stays in the document with the smallest id that has it and is dropped
 from all others.
 
-Documents that are copies as wholes share all their lines in the same order; removing
-them is another operator's work. A template therefore counts as recurring only if it also
-stands in several different neighbourhoods (the lines before and after it).
+Documents that are copies as wholes share nearly all their lines; removing them is
+another operator's work. A document is a copy of its origin if templates that first stand
+there hold at least ``COPY`` of the words of the longer one's distinct lines. A template
+counts as recurring only if it also stands in several documents that are no copies of one
+another, whatever lines stand beside it, and copies of its first document keep it.
 """
 
 from __future__ import annotations
@@ -29,11 +31,14 @@ from quillspark.session import durable
 LEADING = 3
 SIMILARITY = 0.8
 MIN_DOCS = 8
-MIN_NEIGHBOURHOODS = 5
+#: Documents among them that are no copies of one another.
+MIN_DIFFERENT = 5
+#: The share of words from which a document is a copy of another.
+COPY = 0.8
 #: Distinct lines of a leaf that one task groups at first; groups of the parts are then joined.
 LEAF_LINES = 20_000
 _DIGIT = re.compile(r"\d")
-_ROWS = "key long, doc_id long, line int, leaf long, sig binary, near long, fresh int"
+_ROWS = "key long, doc_id long, line int, leaf long, sig binary, fresh int, size long"
 
 
 def _hash(data: bytes) -> int:
@@ -60,18 +65,20 @@ def line_keys(text: str) -> list[tuple[int, bytes] | None]:
 def _line_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
     """A row for each line that isn't blank.
 
-    ``near`` has one bit set by the lines around it and ``fresh`` is 1 at the first such
-    line of the document.
+    ``fresh`` is 1 at the first such line of the document and ``size`` counts the tokens
+    of its distinct lines; it is null but in the document's first row.
     """
     for key, doc_id, text in rows:
-        keys = line_keys(text or "")
         known: set[tuple[int, bytes]] = set()
-        full = [(n, k) for n, k in enumerate(keys) if k is not None]
-        for at, (n, (leaf, sig)) in enumerate(full):
-            around = b"|".join((b"" if at == 0 else full[at - 1][1][1], b"" if at + 1 == len(full) else full[at + 1][1][1]))
-            fresh = (leaf, sig) not in known
-            known.add((leaf, sig))
-            yield key, doc_id, n, leaf, sig, 1 << (xxhash.xxh32_intdigest(around) % 63), int(fresh)
+        out = []
+        for n, k in enumerate(line_keys(text or "")):
+            if k is not None:
+                out.append((n, *k, int(k not in known)))
+                known.add(k)
+        size = sum(len(sig) // 2 for _, sig in known)
+        for n, leaf, sig, fresh in out:
+            yield key, doc_id, n, leaf, sig, fresh, size
+            size = None
 
 
 def _group(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -106,13 +113,10 @@ def _grouped(lines: DataFrame) -> DataFrame:
     return map_rows(ordered.select("part", "leaf", "sig_key", "sig"), _group, _GROUP)
 
 
-def templates(rows: DataFrame) -> DataFrame:
-    """``leaf, sig_key, template, n_docs, n_near, first_doc`` of lines whose leaf may recur.
-
-    A row stands for a distinct line; the last columns are those of its template.
-    """
+def _members(rows: DataFrame) -> DataFrame:
+    """``sig_key, template`` of the distinct lines whose leaf may recur."""
     hot = rows.groupBy("leaf").agg(F.sum("fresh").alias("n")).where(F.col("n") >= MIN_DOCS).select("leaf")
-    lines = rows.join(hot, "leaf", "left_semi").groupBy("leaf", "sig").agg(F.sum("fresh").alias("n_docs"), F.bit_or("near").alias("near"), F.min("doc_id").alias("first_doc"))
+    lines = rows.join(hot, "leaf", "left_semi").groupBy("leaf", "sig").agg(F.sum("fresh").alias("n_docs"))
     lines = durable(lines.withColumn("sig_key", F.xxhash64("leaf", "sig")))
     sizes = lines.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_LINES).alias("parts"))
     parted = lines.join(sizes, "leaf").withColumn("part", F.xxhash64("leaf", F.pmod("sig_key", F.col("parts"))))
@@ -121,10 +125,17 @@ def templates(rows: DataFrame) -> DataFrame:
     again = first.where(F.col("founder").isNotNull()).join(sizes.where("parts > 1"), "leaf")
     again = again.join(lines.select("sig_key", "n_docs"), "sig_key").select(F.col("leaf").alias("part"), "leaf", "sig_key", F.col("founder").alias("sig"), "n_docs")
     second = _grouped(again).select(F.col("sig_key").alias("founder_key"), F.col("founder_key").alias("joined"))
-    member = first.join(second, "founder_key", "left").select("sig_key", F.coalesce("joined", "founder_key").alias("template"))
-    whole = durable(lines.drop("sig").join(member, "sig_key"))
-    totals = whole.groupBy("template").agg(F.sum("n_docs").alias("n_docs"), F.bit_count(F.bit_or("near")).alias("n_near"), F.min("first_doc").alias("first_doc"))
-    return whole.select("leaf", "sig_key", "template").join(totals, "template")
+    return durable(first.join(second, "founder_key", "left").select("sig_key", F.coalesce("joined", "founder_key").alias("template")))
+
+
+def _classes(held: DataFrame, rows: DataFrame) -> DataFrame:
+    """``key, origin`` of each document that is a copy of an earlier one."""
+    first = held.groupBy("template").agg(F.min("doc_id").alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    sizes = durable(rows.where(F.col("size").isNotNull()).groupBy("key", "doc_id").agg(F.max("size").alias("size"), F.count("*").alias("copies")))
+    shared = held.where("fresh = 1").join(first, "template").where("doc_id <> origin").groupBy("key", "origin").agg(F.sum("words").alias("shared"))
+    of_origin = sizes.groupBy(F.col("doc_id").alias("origin")).agg(F.max("size").alias("origin_size"))
+    both = shared.join(sizes, "key").join(of_origin, "origin")
+    return both.where(F.col("shared") >= F.greatest("size", "origin_size") * F.col("copies") * COPY - 1e-6).select("key", "origin")
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,8 +145,14 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.where(F.col(id_col).isNotNull()).select(document_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = durable(map_rows(source, _line_rows, _ROWS))
-    out = templates(rows).where((F.col("n_docs") >= MIN_DOCS) & (F.col("n_near") >= MIN_NEIGHBOURHOODS)).select("sig_key", "first_doc")
-    marked = rows.select("key", "doc_id", "line", F.xxhash64("leaf", "sig").alias("sig_key")).join(out, "sig_key").where(F.col("doc_id") != F.col("first_doc"))
+    slim = rows.select("key", "doc_id", "line", F.xxhash64("leaf", "sig").alias("sig_key"), "fresh", F.expr("length(sig) div 2").alias("words"))
+    held = durable(slim.join(_members(rows), "sig_key").drop("sig_key"))
+    copies = durable(_classes(held, rows))
+    classed = held.join(copies, "key", "left").select("key", "doc_id", "line", "template", "fresh", F.coalesce("origin", "doc_id").alias("class"))
+    per_class = classed.groupBy("template", "class").agg(F.sum("fresh").alias("n"), F.min("doc_id").alias("doc_id"))
+    totals = per_class.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_different"), F.min(F.struct("doc_id", "class")).alias("first"))
+    out = totals.where((F.col("n_docs") >= MIN_DOCS) & (F.col("n_different") >= MIN_DIFFERENT)).select("template", F.col("first.class").alias("home"))
+    marked = classed.join(out, "template").where(F.col("class") != F.col("home"))
     return marked.groupBy("key").agg(F.collect_set("line").alias("drop"))
 
 
