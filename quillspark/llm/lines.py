@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import map_rows
@@ -30,15 +30,18 @@ from quillspark.session import durable
 
 LEADING = 3
 SIMILARITY = 0.8
-MIN_DOCS = 8
-#: Documents among them that are no copies of one another.
-MIN_DIFFERENT = 5
+#: The evidence that a template of at least so many fixed tokens needs: documents that have
+#: it, and among them documents that are no copies of one another.
+EVIDENCE = ((51, 2, 2), (21, 4, 3), (0, 8, 5))
 #: The share of words from which a document is a copy of another.
 COPY = 0.8
 #: Distinct lines of a leaf that one task groups at first; groups of the parts are then joined.
 LEAF_LINES = 20_000
 _DIGIT = re.compile(r"\d")
-_ROWS = "key long, doc_id long, line int, leaf long, sig binary, fresh int, size long"
+_ROWS = "key long, doc_id long, line int, leaf long, sig binary, fresh int, size long, fixed int"
+
+
+_MASKED = np.frombuffer(xxhash.xxh32_digest(b"<*>")[:2], np.uint16)[0]
 
 
 def _hash(data: bytes) -> int:
@@ -66,7 +69,8 @@ def _line_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
     """A row for each line that isn't blank.
 
     ``fresh`` is 1 at the first such line of the document and ``size`` counts the tokens
-    of its distinct lines; it is null but in the document's first row.
+    of its distinct lines; it is null but in the document's first row. ``fixed`` counts
+    the line's tokens that are no variable fields.
     """
     for key, doc_id, text in rows:
         known: set[tuple[int, bytes]] = set()
@@ -77,7 +81,7 @@ def _line_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
                 known.add(k)
         size = sum(len(sig) // 2 for _, sig in known)
         for n, leaf, sig, fresh in out:
-            yield key, doc_id, n, leaf, sig, fresh, size
+            yield key, doc_id, n, leaf, sig, fresh, size, int((np.frombuffer(sig, np.uint16) != _MASKED).sum())
             size = None
 
 
@@ -113,9 +117,17 @@ def _grouped(lines: DataFrame) -> DataFrame:
     return map_rows(ordered.select("part", "leaf", "sig_key", "sig"), _group, _GROUP)
 
 
+def _evidence(which: int) -> Column:
+    """How many documents (1), or different documents (2), a template of ``fixed`` tokens needs."""
+    least = F.lit(EVIDENCE[-1][which])
+    for step in reversed(EVIDENCE[:-1]):
+        least = F.when(F.col("fixed") >= step[0], step[which]).otherwise(least)
+    return least
+
+
 def _members(rows: DataFrame) -> DataFrame:
     """``sig_key, template`` of the distinct lines whose leaf may recur."""
-    hot = rows.groupBy("leaf").agg(F.sum("fresh").alias("n")).where(F.col("n") >= MIN_DOCS).select("leaf")
+    hot = rows.groupBy("leaf").agg(F.sum("fresh").alias("n"), F.max("fixed").alias("fixed")).where(F.col("n") >= _evidence(1)).select("leaf")
     lines = rows.join(hot, "leaf", "left_semi").groupBy("leaf", "sig").agg(F.sum("fresh").alias("n_docs"))
     lines = durable(lines.withColumn("sig_key", F.xxhash64("leaf", "sig")))
     sizes = lines.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_LINES).alias("parts"))
@@ -145,13 +157,13 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.where(F.col(id_col).isNotNull()).select(document_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = durable(map_rows(source, _line_rows, _ROWS))
-    slim = rows.select("key", "doc_id", "line", F.xxhash64("leaf", "sig").alias("sig_key"), "fresh", F.expr("length(sig) div 2").alias("words"))
+    slim = rows.select("key", "doc_id", "line", F.xxhash64("leaf", "sig").alias("sig_key"), "fresh", "fixed", F.expr("length(sig) div 2").alias("words"))
     held = durable(slim.join(_members(rows), "sig_key").drop("sig_key"))
     copies = durable(_classes(held, rows))
-    classed = held.join(copies, "key", "left").select("key", "doc_id", "line", "template", "fresh", F.coalesce("origin", "doc_id").alias("class"))
-    per_class = classed.groupBy("template", "class").agg(F.sum("fresh").alias("n"), F.min("doc_id").alias("doc_id"))
-    totals = per_class.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_different"), F.min(F.struct("doc_id", "class")).alias("first"))
-    out = totals.where((F.col("n_docs") >= MIN_DOCS) & (F.col("n_different") >= MIN_DIFFERENT)).select("template", F.col("first.class").alias("home"))
+    classed = held.join(copies, "key", "left").select("key", "doc_id", "line", "template", "fresh", "fixed", F.coalesce("origin", "doc_id").alias("class"))
+    per_class = classed.groupBy("template", "class").agg(F.sum("fresh").alias("n"), F.min("doc_id").alias("doc_id"), F.min("fixed").alias("fixed"))
+    totals = per_class.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_different"), F.min(F.struct("doc_id", "class")).alias("first"), F.min("fixed").alias("fixed"))
+    out = totals.where((F.col("n_docs") >= _evidence(1)) & (F.col("n_different") >= _evidence(2))).select("template", F.col("first.class").alias("home"))
     marked = classed.join(out, "template").where(F.col("class") != F.col("home"))
     return marked.groupBy("key").agg(F.collect_set("line").alias("drop"))
 

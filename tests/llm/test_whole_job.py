@@ -32,3 +32,14 @@ def test_shared_blocks_go_whole(spark):
         want = texts[i].split("\n")
         assert got[i] == (texts[i] if i == 0 else "\n".join(want[2:4]))
         assert got[100 + i] == texts[100 + i]
+
+
+def test_long_lines_need_less_evidence(spark):
+    rng = random.Random(12)
+    long, middle, short = prose(rng, 60), prose(rng, 30), prose(rng, 8)
+    rows = [(i, "\n".join([prose(rng, 90), short, *[middle] * (i < 4), *[long] * (i < 2), prose(rng, 90)])) for i in range(7)]
+    numbers = " ".join(str(k) for k in range(60))
+    rows += [(20 + i, f"{prose(rng, 40)}\n{numbers}\n{prose(rng, 50)}") for i in range(3)]
+    got = {r.doc_id: r.text for r in lines.drop_recurring(frame(spark, rows)).collect()}
+    assert [i for i in range(7) if long in got[i]] == [0] and [i for i in range(7) if middle in got[i]] == [0]
+    assert all(short in got[i] for i in range(7)) and all(numbers in got[20 + i] for i in range(3))
