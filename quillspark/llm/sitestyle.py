@@ -8,8 +8,10 @@ each page; what differs page by page is its content.
 
 Entropy needs several pages, and some furniture differs from page to page by design (a
 menu of related links, reader comments). So the importance of a node also has a prior by
-its HTML meaning: furniture elements and role names have none, and the branch that a
-page itself marks as its article or main part is never removed for being repeated.
+its HTML meaning: furniture elements and role names have none, and the node that a page
+itself marks as its article or main part is never removed for being repeated, though
+nodes below it are. What stands outside such a node is kept only if its measured
+importance is not low and it holds more text than the marked part, a mere teaser then.
 """
 
 from __future__ import annotations
@@ -107,17 +109,11 @@ def style_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
         root = parse(text or "")
         digests, host = _digests(root), _hash(host_of(url))
         for node, path in _visit(root):
-            if digests[id(node)] and not any(x.name in _MAIN for x in _ancestry(node)):
+            if digests[id(node)] and node.name not in _MAIN:
                 shape = " ".join(x.style for x in node.items if not isinstance(x, str))
                 yield host, digests[id(root)], _hash(path), _hash(shape), digests[id(node)]
 
 
-def _ancestry(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
-
-
 def importance(pages: DataFrame) -> DataFrame:
     """``host, node, n_pages, importance`` of the style nodes of ``url, html`` rows.
 
@@ -142,28 +138,39 @@ def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     read.
     """
     own = pages.select(F.col(id_col).alias("page_id"), "url", "html")
-    low = importance(own).where((F.col("n_pages") >= MIN_PAGES) & (F.col("importance") < LOW))
-    furniture = durable(low.groupBy("host").agg(F.collect_list("node").alias("low")))
+    measured = importance(own).where(F.col("n_pages") >= MIN_PAGES)
+    is_low = F.col("importance") < LOW
+    furniture = durable(measured.groupBy("host").agg(F.collect_list(F.when(is_low, F.col("node"))).alias("low"), F.collect_list(F.when(~is_low, F.col("node"))).alias("high")))
     hosts = map_rows(own.select("url").distinct(), lambda rows: ((url, _hash(host_of(url))) for (url,) in rows), "url string, host long")
-    marked = hosts.join(furniture, "host").select(F.col("url").alias("__url"), "low")
-    with_low = own.join(marked, own["url"].eqNullSafe(marked["__url"]), "left").select("page_id", "url", "html", "low")
+    marked = hosts.join(furniture, "host").select(F.col("url").alias("__url"), "low", "high")
+    with_low = own.join(marked, own["url"].eqNullSafe(marked["__url"]), "left").select("page_id", "url", "html", "low", "high")
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for page_id, url, text, nodes in rows:
-            yield page_id, url, main_text(text or "", frozenset(nodes or ()))
+        for page_id, url, text, low, high in rows:
+            yield page_id, url, main_text(text or "", frozenset(low or ()), frozenset(high or ()))
 
     return map_rows(with_low, run, "page_id long, url string, text string")
 
 
-def main_text(text: str, low: frozenset[int] = frozenset()) -> str:
-    """The blocks of a page that are neither furniture nor of low importance."""
+def main_text(text: str, low: frozenset[int] = frozenset(), high: frozenset[int] = frozenset()) -> str:
+    """The blocks of a page that are neither furniture nor of low importance.
+
+    On a page with a marked main part, blocks outside it count only if they are of
+    measured (``high``) importance and hold more text than that part.
+    """
     root = parse(text)
     gone: set[int] = set()
     if low:
-        gone = {id(node) for node, path in _visit(root) if _hash(path) in low and not any(x.name in _MAIN for x in _ancestry(node)) and not _holds_main(node)}
+        gone = {id(node) for node, path in _visit(root) if node.name not in _MAIN and _hash(path) in low and not _holds_main(node)}
     found = blocks(root, lambda node: is_furniture(node) or id(node) in gone)
-    inside = [b for b in found if any(x.name in _MAIN for x in b.nodes)]
-    return "\n\n".join(b.text for b in inside or found)
+    inside = [any(x.name in _MAIN for x in b.nodes) for b in found]
+    if any(inside) and not all(inside):
+        weighty = {id(node) for node, path in _visit(root) if _hash(path) in high} if high else set()
+        outside = [not main and id(b.nodes[-1]) in weighty for b, main in zip(found, inside, strict=True)]
+        if sum(len(b.text) for b, x in zip(found, outside, strict=True) if x) > sum(len(b.text) for b, x in zip(found, inside, strict=True) if x):
+            inside = [a or b for a, b in zip(inside, outside, strict=True)]
+        found = [b for b, x in zip(found, inside, strict=True) if x]
+    return "\n\n".join(b.text for b in found)
 
 
 def _holds_main(node: Node) -> bool:

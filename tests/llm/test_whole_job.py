@@ -1,6 +1,7 @@
 import random
 
-from quillspark.llm import lines
+
+from quillspark.llm import lines, sitestyle
 
 
 def frame(spark, rows):
@@ -43,3 +44,26 @@ def test_long_lines_need_less_evidence(spark):
     got = {r.doc_id: r.text for r in lines.drop_recurring(frame(spark, rows)).collect()}
     assert [i for i in range(7) if long in got[i]] == [0] and [i for i in range(7) if middle in got[i]] == [0]
     assert all(short in got[i] for i in range(7)) and all(numbers in got[20 + i] for i in range(3))
+
+
+# Pages --------------------------------------------------------------------------------------------
+
+
+def test_style_tree_decides_around_and_below_main_parts(spark):
+    rng = random.Random(14)
+    box = "<div class='x1'><p>Every page says this.</p></div>"
+    rows = [(i, f"http://s.org/{i}", f"<body><main><h1>Title {prose(rng, 4)}</h1>{box}<p>{prose(rng, 30)}</p></main></body>") for i in range(8)]
+    rows += [(10 + i, f"http://t.org/{i}", f"<body>{box}<article><p>Teaser {prose(rng, 3)}</p></article><div class='c'><p>{prose(rng, 30)}</p></div></body>") for i in range(8)]
+    rows += [(20 + i, f"http://u.org/{i}", f"<body><article><p>{prose(rng, 30)}</p></article><div class='c'><p>{prose(rng, 3)}</p></div></body>") for i in range(8)]
+    for r in sitestyle.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        parts = r.text.split("\n\n")
+        assert "Every page" not in r.text and len(parts) == (1 if r.page_id >= 20 else 2) and len(parts[-1].split()) == 30
+
+
+# Near-duplicates ----------------------------------------------------------------------------------
+
+
+# Decontamination ----------------------------------------------------------------------------------
+
+
+# Quality ------------------------------------------------------------------------------------------
