@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, lines, mixing, quality, simhash
+from quillspark.llm import decontaminate, jaccard, lines, mixing, quality, simhash
 from quillspark.session import checkpoint_dir, load
 
 
@@ -28,8 +28,8 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    return simhash.keep_representatives(docs)
+    """One document, that with the smallest id, of each group that SimHash or five-word similarity of 0.8 links."""
+    return simhash.keep_representatives(docs, classes=jaccard.near_duplicates(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

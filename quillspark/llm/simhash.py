@@ -140,13 +140,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` less all but one row of each near-duplicate component.
 
     The row with the smallest doc_id stays; of repeated rows with that id, one does.
     Rows without an id can't be told apart and stay. Columns are those of ``docs``.
+    ``classes`` (``doc_id, component_id``) are those of ``near_duplicates`` unless given.
     """
-    classes = near_duplicates(docs, id_col, text_col)
+    if classes is None:
+        classes = near_duplicates(docs, id_col, text_col)
     keep = durable(classes.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__n")))
     kept = docs.join(keep, docs[id_col].cast("long") == keep["__keep"], "left_semi")
     unnamed = docs.where(F.col(id_col).isNull())

@@ -1,7 +1,10 @@
 import random
+from itertools import combinations
 
+import pytest
 
-from quillspark.llm import lines, sitestyle
+import corpus_pipeline
+from quillspark.llm import decontaminate, lines, quality, sitestyle
 
 
 def frame(spark, rows):
@@ -63,6 +66,25 @@ def test_style_tree_decides_around_and_below_main_parts(spark):
 # Near-duplicates ----------------------------------------------------------------------------------
 
 
+def test_stage_drops_edited_copies(spark):
+    rng = random.Random(15)
+    rows, want = [], set()
+    for k in range(40):
+        words = prose(rng, 300).split()
+        rows.append((10 * k, " ".join(words)))
+        want.add(10 * k)
+        for j, edits in enumerate((5, 6, 40), 1):  # similarities of about 0.85, 0.82 and 0.3
+            edited = list(words)
+            for p in rng.sample(range(0, 300, 7), edits):
+                edited[p] = prose(rng, 1)
+            rows.append((10 * k + j, " ".join(edited)))
+        want.add(10 * k + 3)
+    rows += [(None, rows[0][1]), (None, None), (900, None), (901, ""), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()]
+    assert sorted(x for x in kept if x is not None) == sorted([*want, 900]) and kept.count(None) == 2
+
+
 # Decontamination ----------------------------------------------------------------------------------
 
 
