@@ -106,22 +106,21 @@ def overlap(document: np.ndarray, item: np.ndarray, diagonal: int) -> int:
     """Tokens of the longest overlap on a diagonal (document place less item place); 0 if it does not count.
 
     An overlap is a run of at least ``OVERLAP_TOKENS`` tokens, or the whole of a shorter
-    item, of which ``SIMILARITY`` agree and whose ends agree.
+    item, of which ``SIMILARITY`` agree. Tokens at either end may differ, and places of
+    the item before or after the document count as differing.
     """
-    lo, hi = max(0, -diagonal), min(len(item), len(document) - diagonal)
     least = min(len(item), OVERLAP_TOKENS)
-    if hi - lo < least:
-        return 0
-    same = document[lo + diagonal : hi + diagonal] == item[lo:hi]
+    lo, hi = max(0, -diagonal), min(len(item), len(document) - diagonal)
+    same = np.zeros(len(item), bool)
+    if hi > lo:
+        same[lo:hi] = document[lo + diagonal : hi + diagonal] == item[lo:hi]
     if len(item) < SHORT_TOKENS:
-        return len(item) if same.all() and len(same) == len(item) else 0
+        return len(item) if same.all() else 0
     # A run i..j counts if the sum of (same - SIMILARITY) over it isn't negative.
     sums = np.concatenate([[0.0], np.cumsum(same - SIMILARITY)])
     floor = np.minimum.accumulate(sums)
-    best = 0
-    for j in np.flatnonzero(same) + 1:
-        i = int(np.searchsorted(-floor, -(sums[j] + 1e-9), side="left"))
-        best = max(best, int(j) - i)
+    starts = np.searchsorted(-floor, -(sums[1:] + 1e-9), side="left")
+    best = int((np.arange(1, len(sums)) - starts).max())
     return best if best >= least else 0
 
 

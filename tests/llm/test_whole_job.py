@@ -88,4 +88,23 @@ def test_stage_drops_edited_copies(spark):
 # Decontamination ----------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("broadcast_seeds", [10**6, 0])
+def test_substitutions_at_either_end(spark, broadcast_seeds):
+    rng = random.Random(16)
+    items, docs = [], []
+    for k, n in enumerate([8, 10, 15, 19, 20, 40]):
+        words = prose(rng, n).split()
+        items.append((k, " ".join(words)))
+        changed = (n - 1 if n <= 20 else 19, 0)  # the last and the first word (of the first twenty)
+        for j, p in enumerate(changed):
+            part = list(words[:20])
+            part[p] = "other"
+            docs.append((10 * k + j, f"{prose(rng, 9)} {' '.join(part)} {prose(rng, 30)}"))
+        docs.append((10 * k + 2, f"{prose(rng, 9)} {' '.join(words[:19][:-1])}"))  # ends before the item does
+        docs.append((10 * k + 3, f"{prose(rng, 9)} {' '.join(words[:6])} {prose(rng, 30)}"))
+    found = decontaminate.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), broadcast_seeds=broadcast_seeds).collect()
+    want = {(10 * k + j, k) for k in range(6) for j in (0, 1, 2)}
+    assert {(r.doc_id, r.item_id) for r in found} == want
+
+
 # Quality ------------------------------------------------------------------------------------------
