@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import map_rows
 from quillspark.session import durable
 
-#: Masks of equal weight. Together they catch any eleven-token run with two substitutions.
-MASKS = ("11101101", "11011011", "10110111", "1111011", "1101111")
+#: Masks of equal weight. Together they hit every run of 8 to 20 tokens of which 80 % agree, wherever the others are (by enumeration).
+MASKS = ("1111011", "110010111", "1110100011", "1011111", "11101101", "101100111")
 #: Tokens that an overlap has at least, or the whole of a shorter item.
 OVERLAP_TOKENS = 20
 #: Items with fewer tokens are matched whole and without substitutions.

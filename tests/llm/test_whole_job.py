@@ -107,4 +107,11 @@ def test_substitutions_at_either_end(spark, broadcast_seeds):
     assert {(r.doc_id, r.item_id) for r in found} == want
 
 
+def test_masks_hit_every_overlap():
+    for n in range(8, 21):
+        for gone in combinations(range(n), n - -(-n * 8 // 10)):
+            agree = "".join("0" if i in gone else "1" for i in range(n))
+            assert any(all(agree[at + i] == "1" for i, c in enumerate(mask) if c == "1") for mask in decontaminate.MASKS for at in range(n - len(mask) + 1)), agree
+
+
 # Quality ------------------------------------------------------------------------------------------
