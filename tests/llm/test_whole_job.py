@@ -115,3 +115,10 @@ def test_masks_hit_every_overlap():
 
 
 # Quality ------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("words", [65, 100, 127, 128, 200])
+def test_junk_at_the_end_shows(words):
+    text = " ".join(["plain"] * (words - 60) + ["JUNK!"] * 60)
+    values = dict(zip(quality.FEATURES, quality.statistics(text), strict=True))
+    assert min(values["worst_symbol"], values["worst_upper"], values["worst_equal"]) >= 0.9
