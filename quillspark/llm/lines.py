@@ -85,6 +85,11 @@ def _line_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
             size = None
 
 
+def _least(tokens: int) -> int:
+    """Tokens that agree in lines of one template."""
+    return int(np.ceil(SIMILARITY * tokens - 1e-9))
+
+
 def _group(rows: Iterator[tuple]) -> Iterator[tuple]:
     """``leaf, sig_key, founder_key, founder`` for ``part, leaf, sig_key, sig`` rows that come by part.
 
@@ -96,8 +101,7 @@ def _group(rows: Iterator[tuple]) -> Iterator[tuple]:
         tokens = np.frombuffer(sig, np.uint16)
         if this != part:
             part, founders, keys, n = this, np.zeros((4, len(tokens)), np.uint16), [], 0
-        least = int(np.ceil(SIMILARITY * len(tokens) - 1e-9))
-        hits = np.flatnonzero((founders[:n] == tokens).sum(1) >= least) if n else ()
+        hits = np.flatnonzero((founders[:n] == tokens).sum(1) >= _least(len(tokens))) if n else ()
         if len(hits):
             yield leaf, sig_key, keys[hits[0]], None
             continue
@@ -136,8 +140,20 @@ def _members(rows: DataFrame) -> DataFrame:
     # Founders of a leaf that was grouped in parts are grouped again among themselves.
     again = first.where(F.col("founder").isNotNull()).join(sizes.where("parts > 1"), "leaf")
     again = again.join(lines.select("sig_key", "n_docs"), "sig_key").select(F.col("leaf").alias("part"), "leaf", "sig_key", F.col("founder").alias("sig"), "n_docs")
-    second = _grouped(again).select(F.col("sig_key").alias("founder_key"), F.col("founder_key").alias("joined"))
-    return durable(first.join(second, "founder_key", "left").select("sig_key", F.coalesce("joined", "founder_key").alias("template")))
+    second = _grouped(again).select(F.col("sig_key").alias("founder_key"), F.col("founder_key").alias("joined")).where("founder_key <> joined")
+    # A line follows its founder into another group only if it agrees with that group's founder too.
+    sigs = lines.select("sig_key", "sig")
+    moved = first.select("sig_key", "founder_key").join(second, "founder_key").join(sigs, "sig_key")
+    moved = moved.join(sigs.select(F.col("sig_key").alias("joined"), F.col("sig").alias("other")), "joined")
+    agreed = map_rows(moved.select("sig_key", "sig", "joined", "other"), _agreeing, "sig_key long, joined long")
+    return durable(first.join(agreed, "sig_key", "left").select("sig_key", F.coalesce("joined", "founder_key").alias("template")))
+
+
+def _agreeing(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for sig_key, sig, joined, other in rows:
+        tokens = np.frombuffer(sig, np.uint16)
+        if (tokens == np.frombuffer(other, np.uint16)).sum() >= _least(len(tokens)):
+            yield sig_key, joined
 
 
 def _classes(held: DataFrame, rows: DataFrame) -> DataFrame:

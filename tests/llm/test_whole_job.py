@@ -49,6 +49,22 @@ def test_long_lines_need_less_evidence(spark):
     assert all(short in got[i] for i in range(7)) and all(numbers in got[20 + i] for i in range(3))
 
 
+@pytest.mark.parametrize("leaf_lines", [4, 9])
+def test_no_line_follows_its_founder_too_far(spark, monkeypatch, leaf_lines):
+    monkeypatch.setattr(lines, "LEAF_LINES", leaf_lines)
+    rng = random.Random(13)
+    base, other = prose(rng, 20).split(), prose(rng, 20).split()
+    chain = [" ".join([*base[:3], *other[3 : 3 + k], *base[3 + k :]]) for k in range(18)]  # neighbours differ in one token
+    rows = [(i, f"{prose(rng, 30)}\n{line}") for i, line in enumerate(chain * 2)]
+    found = lines.map_rows(frame(spark, rows).selectExpr("doc_id key", "doc_id", "text"), lines._line_rows, lines._ROWS)
+    sigs = {r.k: r.sig for r in found.selectExpr("xxhash64(leaf, sig) k", "sig").collect()}
+    members = lines._members(found).collect()
+    assert len(members) == len(chain)
+    for r in members:
+        a, b = sigs[r.sig_key], sigs[r.template]
+        assert sum(a[i : i + 2] == b[i : i + 2] for i in range(0, len(a), 2)) >= 0.8 * len(a) / 2 - 1e-9
+
+
 # Pages --------------------------------------------------------------------------------------------
 
 
