@@ -63,5 +63,45 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple[Any
     return df.mapInArrow(run, schema)
 
 
+#: Keys whose rows are joined by broadcast at most, and rows that a key has then at least.
+HOT_KEYS, HOT_ROWS = 2000, 5000
+#: Bytes of a table of numbers up to which it is sent to every task.
+BROADCAST_BYTES = 32 << 20
+
+
+def join_counted(left: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """``left`` joined with ``counted``, one row of numbers for each key, by ``key``.
+
+    ``counted`` has a column ``n`` (dropped here): how many rows of ``left`` have the key.
+    Keys that hold at least a ``HOT_KEYS``-th of all rows, so no more than that many, are
+    sent to every task; a shuffle deals only the others. Both are read twice, so they
+    should be durable. Null keys have no partner.
+    """
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    rest = counted.where(F.col("n") < least).drop("n")
+    if counted.where(F.col("n") >= least).isEmpty():
+        return left.join(rest, key)
+    hot = F.broadcast(counted.where(F.col("n") >= least).drop("n"))
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
+def small(numbers: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """``numbers`` (durable), marked for broadcast if its rows are counted to be few enough."""
+    return F.broadcast(numbers) if numbers.count() * row_bytes <= BROADCAST_BYTES else numbers
+
+
+def own_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that no column of ``taken`` has (case aside)."""
+    known = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(column: str = "text") -> Any:
     return F.coalesce(F.col(column), F.lit(""))

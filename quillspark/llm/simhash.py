@@ -9,9 +9,10 @@ it meets in one of these postings, and a pair that does not is never formed.
 Members of a posting agree in six bytes, so the other two bytes tell them apart: a
 posting holds at most 65,536 fingerprints however many documents there are. Links inside
 a posting are found by looking up the 136 patterns of one or two flipped bits, in
-proportion to its members, never by listing its pairs. Every link is verified by
-construction (exactly one or two bits differ), and a posting gives back a spanning
-forest of its links, which keeps components whole.
+proportion to its members, never by listing its pairs, and a posting gives back a
+spanning forest of its links, which keeps components whole. What the postings give is
+tallied over all eight positions, held against the guaranteed minimum and verified by
+its differing bits.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_rows
+from quillspark.llm.common import join_counted, map_rows, own_names, small
 from quillspark.llm.components import connected_components
 from quillspark.session import durable
 
@@ -57,14 +58,20 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True)
 
 
+def text_key(text_col: str = "text") -> Column:
+    """A 64-bit name of a text, null counting as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row ``id_col, fp`` for each row of ``docs`` (null text: fingerprint zero)."""
+    """One row ``doc_id, text_key, fp`` for each row of ``docs`` (null text: fingerprint zero)."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for key, text in rows:
-            yield key, fingerprint(text)
+        for doc_id, key, text in rows:
+            yield doc_id, key, fingerprint(text)
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return map_rows(source, run, "doc_id long, text_key long, fp long")
 
 
 def _six_byte_keys(fp: Column) -> Column:
@@ -112,16 +119,37 @@ def posting_links(out: int, members: list[int]) -> list[tuple[int, int]]:
     return links
 
 
+def shared_bytes(a: Column, b: Column) -> Column:
+    """The tally of a pair: at how many of the eight positions the two fingerprints have the same byte."""
+    apart = a.bitwiseXOR(b)
+    return sum((F.when(F.shiftrightunsigned(apart, 8 * k).bitwiseAND(F.lit(0xFF)) == 0, 1).otherwise(0) for k in range(POSITIONS)), F.lit(0))
+
+
 def link_fingerprints(distinct: DataFrame) -> DataFrame:
-    """Links ``a, b`` among distinct fingerprints (column ``fp``) that span every component."""
-    posted = distinct.select(F.col("fp"), F.explode(_six_byte_keys(F.col("fp"))).alias("k")).select("k.out", "k.rest", "fp")
+    """Links ``a, b`` among distinct fingerprints (column ``fp``) that span every component.
+
+    A pair that a posting gives is tallied over all positions, kept if the tally reaches
+    the guaranteed minimum, and then verified by its differing bits.
+    """
+    slots = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    posted = distinct.select("fp").repartition(slots).select(F.col("fp"), F.explode(_six_byte_keys(F.col("fp"))).alias("k")).select("k.out", "k.rest", "fp")
     postings = posted.groupBy("out", "rest").agg(F.count("*").alias("n"), F.collect_list("fp").alias("members")).where("n > 1").select("out", "members")
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for out, members in rows:
             yield from posting_links(out, sorted(members))
 
-    return map_rows(postings, run, "a long, b long")
+    pairs = map_rows(postings, run, "a long, b long")
+    counted = pairs.where(shared_bytes(F.col("a"), F.col("b")) >= POSITIONS - MAX_BITS)
+    return counted.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
+
+
+def classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(fp, n, least, root; root, component_id)`` of durable ``fingerprints`` rows."""
+    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = durable(connected_components(durable(link_fingerprints(distinct))).select(F.col("node").alias("fp"), "root"))
+    found = durable(distinct.join(roots, "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")))
+    return found, found.groupBy("root").agg(F.min("least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,27 +161,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Columns other than the two named ones are not read.
     """
     prints = durable(fingerprints(docs, id_col, text_col))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = durable(connected_components(durable(link_fingerprints(distinct))).select(F.col("node").alias("fp"), "root"))
-    classes = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(classes.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    found, least = classes(prints)
+    named = durable(found.join(least, "root").select("fp", "n", "component_id"))
+    return join_counted(prints.select("doc_id", "fp"), named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: DataFrame | None = None) -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_rows: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` less all but one row of each near-duplicate component.
 
-    The row with the smallest doc_id stays; of repeated rows with that id, one does.
-    Rows without an id can't be told apart and stay. Columns are those of ``docs``.
-    ``classes`` (``doc_id, component_id``) are those of ``near_duplicates`` unless given.
+    The row with the smallest doc_id stays, of several different texts with that id the
+    one with the smallest hash; a row that repeats it as a whole goes. Decisions are by
+    row: rows that share an id and differ in text are judged each by its text. Rows
+    without an id can't be told apart and stay. Columns are those of ``docs``; an empty
+    table gives no rows. ``first_rows`` (``doc_id, text_key``) are the rows that stay if
+    the components are not to be those of ``near_duplicates``.
     """
-    if classes is None:
-        classes = near_duplicates(docs, id_col, text_col)
-    keep = durable(classes.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__n")))
-    kept = docs.join(keep, docs[id_col].cast("long") == keep["__keep"], "left_semi")
-    unnamed = docs.where(F.col(id_col).isNull())
-    if keep.where("__n > 1").isEmpty():
-        return kept.union(unnamed)
-    repeated = keep.where("__n > 1")
-    once = kept.join(repeated, docs[id_col].cast("long") == repeated["__keep"], "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, docs[id_col].cast("long") == repeated["__keep"], "left_anti").union(once).union(unnamed)
+    if first_rows is None:
+        prints = durable(fingerprints(docs, id_col, text_col))
+        found, _ = classes(prints.where(F.col("doc_id").isNotNull()))
+        texts = prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+        first_rows = texts.join(found, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    names = own_names(docs.columns, "keep_id", "keep_key")
+    keep = small(durable(first_rows.select(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1]))), 32)
+    named = docs.where(F.col(id_col).isNotNull())
+    kept = named.join(keep, (docs[id_col].cast("long") == keep[names[0]]) & (text_key(text_col) == keep[names[1]]), "left_semi")
+    kept = _one_for_each_id(kept, id_col, text_col)
+    return kept.union(docs.where(F.col(id_col).isNull()))
+
+
+def _one_for_each_id(kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``kept`` with one row for each id; only where an id is repeated are rows compared."""
+    repeated = durable(kept.groupBy(F.col(id_col).cast("long").alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again"))
+    if repeated.isEmpty():
+        return kept
+    again = small(repeated, 16)
+    same = kept[id_col].cast("long") == again["__again"]
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([id_col]))
