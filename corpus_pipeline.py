@@ -29,7 +29,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group that SimHash or five-word similarity of 0.8 links."""
-    return simhash.keep_representatives(docs, classes=jaccard.near_duplicates(docs))
+    return simhash.keep_representatives(docs, first_rows=jaccard.first_rows(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
