@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from quillspark.session import share_code
+from quillspark.session import durable, share_code
 
 #: Rows that go back to Spark in one Arrow batch.
 OUT_ROWS = 4096
@@ -69,20 +69,23 @@ HOT_KEYS, HOT_ROWS = 2000, 5000
 BROADCAST_BYTES = 32 << 20
 
 
-def join_counted(left: DataFrame, counted: DataFrame, key: str) -> DataFrame:
-    """``left`` joined with ``counted``, one row of numbers for each key, by ``key``.
+def join_counted(left: DataFrame, counted: DataFrame, key: str, width: Column | None = None) -> DataFrame:
+    """``left`` joined with ``counted``, one row for each key, by ``key``.
 
     ``counted`` has a column ``n`` (dropped here): how many rows of ``left`` have the key.
     Keys that hold at least a ``HOT_KEYS``-th of all rows, so no more than that many, are
     sent to every task; a shuffle deals only the others. Both are read twice, so they
-    should be durable. Null keys have no partner.
+    should be durable. Null keys have no partner. ``width`` measures the bytes of a row
+    of ``counted`` that may be long; only rows that are short enough for all to be sent are.
     """
     total = counted.agg(F.sum("n")).first()[0] or 0
     least = max(HOT_ROWS, -(-total // HOT_KEYS))
-    rest = counted.where(F.col("n") < least).drop("n")
-    if counted.where(F.col("n") >= least).isEmpty():
-        return left.join(rest, key)
-    hot = F.broadcast(counted.where(F.col("n") >= least).drop("n"))
+    is_hot = F.col("n") >= least
+    if width is not None:
+        is_hot &= width <= BROADCAST_BYTES // HOT_KEYS
+    if counted.where(is_hot).isEmpty():
+        return left.join(counted.drop("n"), key)
+    rest, hot = counted.where(~is_hot).drop("n"), F.broadcast(counted.where(is_hot).drop("n"))
     return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
@@ -103,5 +106,20 @@ def own_names(taken: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A 64-bit name of a row by its id and text, null counting as empty."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def without(docs: DataFrame, out: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no ``key`` (``row_key``) of ``out`` names; rows without an id stay.
+
+    Texts move only where the keys are counted to be too many to be sent to every task.
+    """
+    (name,) = own_names(docs.columns, "out_key")
+    gone = small(durable(out.select(F.col("key").alias(name)).distinct()), 16)
+    return docs.join(gone, F.col(id_col).isNotNull() & (row_key(id_col, text_col) == gone[name]), "left_anti")
+
+
 def text_or_empty(column: str = "text") -> Any:
     return F.coalesce(F.col(column), F.lit(""))
