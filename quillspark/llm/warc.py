@@ -21,13 +21,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_rows, text_or_empty
-from quillspark.session import checkpoint_dir
+from quillspark.llm.common import BROADCAST_BYTES, join_counted, map_rows, text_or_empty
+from quillspark.session import checkpoint_dir, durable
 
 #: Payloads from this size on are stored once; equal ones revisit that record.
 REVISIT_BYTES = 1000
 #: A writer begins another archive after so many stored bytes.
 ARCHIVE_BYTES = 256 << 20
+#: Bytes of a digest that several pages have, with the id it stands for, about.
+SHARED_ROW_BYTES = 96
 PIECE = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -73,7 +75,7 @@ def _uri(url: str | None, page_id: int | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
+def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One record as one gzip member; with ``refers_to`` a revisit, without the payload."""
     revisit = refers_to is not None
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + (b"" if revisit else payload)
@@ -161,14 +163,28 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """``page_id, url, payload, refers_to`` for each page: what to store and what to revisit.
 
     Of equal payloads of at least ``REVISIT_BYTES`` the one with the largest page_id is
-    stored. Only digests and ids are grouped, so a payload that is everywhere stays
-    spread over the tasks. Rows that repeat the largest id itself are stored as well.
+    stored. Payloads stay where they are read: digests and ids alone are grouped, and what
+    is joined back is a row for each digest that several pages have, sent to every task if
+    these are counted to be few. Where they are many, a row for each revisit is joined by
+    page id and digest, so that a payload that is everywhere doesn't meet in one task. Rows
+    that repeat the largest id itself are stored as well.
     """
-    payload = F.encode(text_or_empty("html"), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("__sha"))
-    large = pages.select("page_id", F.sha1(payload).alias("__sha"), F.octet_length(text_or_empty("html")).alias("__n")).where(F.col("__n") >= REVISIT_BYTES)
-    shared = large.groupBy("__sha").agg(F.max("page_id").alias("__last"), F.count("*").alias("__copies")).where("__copies > 1").select("__sha", "__last")
-    return rows.join(shared, "__sha", "left").select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("__last"), F.col("__last")).alias("refers_to"))
+    html = text_or_empty("html")
+    payload = F.encode(html, "UTF-8")
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("sha"))
+    slim = durable(pages.select("page_id", F.sha1(payload).alias("sha"), F.octet_length(html).alias("bytes")).where(F.col("bytes") >= REVISIT_BYTES).drop("bytes"))
+    shared = durable(slim.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1"))
+    if shared.count() * SHARED_ROW_BYTES <= BROADCAST_BYTES:
+        marked = rows.join(F.broadcast(shared.drop("n")), "sha", "left")
+    else:
+        revisits = join_counted(slim, shared, "sha").where(F.col("page_id") != F.col("last")).distinct()
+        marked = rows.join(revisits, ["page_id", "sha"], "left")
+    return marked.select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("last"), F.col("last")).alias("refers_to"))
+
+
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder by its URI; Spark's names of object stores are understood too."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
@@ -181,7 +197,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = _store(folder)
         store.create_dir(base, recursive=True)
         file, path, count, size = None, "", 0, 0
         for page_id, url, payload, refers_to in rows:
@@ -206,7 +222,7 @@ def read_archives(paths: DataFrame, folder: str) -> DataFrame:
     """One row for each record of the archives at ``path``, read in sequence and verified."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = _store(folder)
         for (path,) in rows:
             with store.open_input_stream(path, compression=None) as file:
                 for record in read_records(file):
@@ -229,7 +245,8 @@ def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None)
 
     A null html is an empty payload, a null url is written as a URN of the page, a null
     page_id is kept, repeated rows give repeated records, an empty table gives none, and
-    other columns are not read.
+    other columns are not read. A record is held as a whole while it is written or
+    verified, as Spark holds a row.
     """
     shared = checkpoint_dir(spark) if folder is None else folder
     target = f"{shared if '://' in shared or shared.startswith('file:') else 'file://' + shared}/warc-{uuid.uuid4().hex}"
