@@ -3,8 +3,10 @@
 A vector is the sum of one full-dimensional codeword from each of several codebooks.
 Codebooks are fitted to residuals on a bounded sample; encoding keeps a beam of partial
 sums instead of the single best one. A query's lookup tables hold its inner product with
-every codeword, so a code is scored by adding table entries (and, for distances, its
-stored norm). The best codes of each block are reranked exactly on the original vectors.
+every codeword, so a code is scored by adding table entries and, for distances, its
+stored norm. Codes alone are sent to the queries, packed in blocks; each block gives back
+a query's best few, the best of these over all blocks meet their original vectors again,
+and are ranked by the exact measure. What is found doesn't depend on the blocks.
 
 Equal vectors have equal codes and tie in every score, so they are indexed once, with as
 many of their smallest ids as a result can hold; no id beyond those can be in a result.
@@ -19,14 +21,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from quillspark.llm.common import small
 from quillspark.session import durable
 
 #: Vectors on which codebooks are fitted, at most.
 SAMPLE_ROWS = 8192
 CODEBOOKS, CODEWORDS, BEAM, ROUNDS = 16, 256, 4, 8
-#: Distinct vectors in an index block, queries in a query block, codes reranked for each pair of blocks.
-BLOCK_ROWS, QUERY_ROWS, RERANK = 8192, 1024, 512
+#: Codes in a block and queries in a part, at most; codes that are reranked for each query.
+BLOCK_ROWS, QUERY_ROWS, RERANK = 1 << 17, 1 << 13, 256
+#: Queries that are scored at a time, and codes at a time.
+_STEP, _CODES = 128, 1 << 15
 
 
 @dataclass
@@ -104,19 +110,17 @@ def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("vector") == (lengths["d"] if lengths else 0))
 
 
-def build_index(vectors: DataFrame, keep_ids: int) -> tuple[DataFrame, Codebooks | None, int]:
-    """``(index rows, codebooks, blocks)`` over every usable vector.
+def build_index(vectors: DataFrame, keep_ids: int) -> tuple[DataFrame, Codebooks | None]:
+    """``(index rows, codebooks)`` over every usable vector.
 
-    An index row is a distinct vector with its ``keep_ids`` smallest ids (found in two
-    steps, so that no task gathers a frequent vector's rows), its block, code and norm.
+    An index row is a distinct vector with its hash ``key``, its ``keep_ids`` smallest ids
+    (found in two steps, so that no task gathers a frequent vector's rows), code and norm.
     """
     salted = vectors.distinct().groupBy("vector", F.pmod(F.xxhash64("id"), F.lit(64)).alias("__salt")).agg(F.slice(F.array_sort(F.collect_list("id")), 1, keep_ids).alias("ids"))
     distinct = durable(salted.groupBy("vector").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep_ids).alias("ids")))
-    n = distinct.count()
-    if not n:
-        return distinct, None, 0
-    blocks = -(-n // BLOCK_ROWS)
     sample = distinct.select("vector").orderBy(F.xxhash64("vector")).limit(SAMPLE_ROWS).toPandas()
+    if sample.empty:
+        return distinct, None
     books = fit(np.array(sample["vector"].tolist()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,62 +129,93 @@ def build_index(vectors: DataFrame, keep_ids: int) -> tuple[DataFrame, Codebooks
                 codes, norms = books.encode(np.array(frame["vector"].tolist()))
                 yield frame.assign(code=[c.tobytes() for c in codes], norm=norms)
 
-    placed = distinct.withColumn("block", F.pmod(F.xxhash64("vector"), F.lit(blocks)).cast("int"))
-    return placed.mapInPandas(run, "vector array<double>, ids array<long>, block int, code binary, norm float"), books, blocks
+    slots = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    keyed = distinct.repartition(slots).select(F.xxhash64("vector").alias("key"), "vector", "ids")
+    return durable(keyed.mapInPandas(run, "key long, vector array<double>, ids array<long>, code binary, norm float")), books
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
-    """The ``k`` rows of ``table`` with the largest inner product for each query row.
+def _packed(rows: DataFrame, at: str, ddl: str) -> DataFrame:
+    """One row for each value of ``at`` (about a block's rows), its other columns as binary."""
 
-    One row ``query_id, rank, vec_id, score`` for each place; ties go to the smaller id,
-    a query's own id is no candidate, and there are fewer rows where there are fewer
-    candidates. ``queries`` has the two columns as well. See ``usable_vectors`` for what
-    takes no part; repeated rows of an id and vector count once, and a query id that has
-    several vectors is answered for its largest vector in array order.
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        out = {at: [frame[at].iloc[0]]}
+        for name, column in frame.drop(columns=at).items():
+            if column.dtype == object:
+                own = [x if isinstance(x, bytes) else np.asarray(x, np.float64).tobytes() for x in column]
+                out[name] = [b"".join(own)]
+            else:
+                out[name] = [column.to_numpy().tobytes()]
+        return pd.DataFrame(out)
+
+    return rows.groupBy(at).applyInPandas(pack, ddl)
+
+
+def search(
+    table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK, measure: str = "inner", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """The ``k`` rows of ``table`` that are nearest to each query row.
+
+    ``measure`` is ``inner``, the largest inner product, or ``l2``, the smallest squared
+    distance, whose negative is the score. One row ``query_id, rank, vec_id, score`` for
+    each place; ties go to the smaller id, a query's own id is no candidate, and there are
+    fewer rows where there are fewer candidates. ``queries`` has the two columns as well.
+    See ``usable_vectors`` for what takes no part; repeated rows of an id and vector count
+    once, and a query id that has several vectors is answered for its largest vector in
+    array order. Empty tables give no rows, other columns are not read.
     """
     spark = table.sparkSession
-    index, books, blocks = build_index(usable_vectors(table, id_col, vector_col), k + 1)
-    ddl = "query_id long, found array<struct<score:double,vec_id:long>>"
+    index, books = build_index(usable_vectors(table, id_col, vector_col), k + 1)
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d = books.words.shape[2]
+    d, keep, by_distance = books.words.shape[2], max(rerank, k + 1), measure == "l2"
     asked = durable(usable_vectors(queries, id_col, vector_col).where(F.size("vector") == d).groupBy("id").agg(F.max("vector").alias("vector")))
+    n, slots = index.count(), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    blocks = max(-(-n // block_rows), min(slots, -(-n // 4096)))
     parts = max(1, -(-asked.count() // QUERY_ROWS))
-    cells = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    codes = _packed(index.select(F.pmod("key", F.lit(blocks)).cast("int").alias("block"), "key", "code", "norm"), "block", "block int, key binary, code binary, norm binary")
+    wanted = _packed(asked.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "vector"), "part", "part int, id binary, vector binary")
+    cells = durable(codes).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    wanted = durable(wanted).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def best(_: tuple, own: pd.DataFrame, asked_of: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asked_of):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "found": pd.Series(dtype="object")})
-        vectors, q = np.array(own["vector"].tolist()), np.array(asked_of["vector"].tolist())
-        codes = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1)
-        ids, out = own["ids"].tolist(), []
-        for at in range(0, len(q), 128):
-            out += _answer(q[at : at + 128], asked_of["id"].to_numpy()[at : at + 128], vectors, codes, ids, books, k, rerank)
-        return pd.DataFrame(out, columns=["query_id", "found"])
-
-    found = cells.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(best, ddl)
-    order = F.expr("(a, b) -> CASE WHEN a.score > b.score THEN -1 WHEN a.score < b.score THEN 1 WHEN a.vec_id < b.vec_id THEN -1 WHEN a.vec_id > b.vec_id THEN 1 ELSE 0 END")
-    merged = found.groupBy("query_id").agg(F.flatten(F.collect_list("found")).alias("found"))
-    top = merged.select("query_id", F.posexplode(F.slice(F.call_function("array_sort", F.col("found"), order), 1, k)).alias("at", "hit"))
-    return top.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
-
-
-def _answer(q: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, ids: list, books: Codebooks, k: int, rerank: int) -> list[tuple]:
-    """``query_id, found`` for one block: table scores, then exact scores of the best."""
-    tables = books.tables(q)
-    scores = np.zeros((len(q), len(codes)), np.float32)
-    for m, table in enumerate(tables):
-        scores += table[:, codes[:, m]]
-    keep = min(rerank, len(codes))
-    near = np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if keep < len(codes) else np.broadcast_to(np.arange(len(codes)), scores.shape)
+        found: list[tuple] = []
+        for key, code, norm in zip(own["key"], own["code"], own["norm"], strict=True):
+            stored = np.frombuffer(code, np.uint8).reshape(-1, len(books.words)), np.frombuffer(norm, np.float32) if by_distance else None, np.frombuffer(key, np.int64)
+            for ids, vectors in zip(asked_of["id"], asked_of["vector"], strict=True):
+                found += _nearest_codes(np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, d), *stored, books, keep)
+        return pd.DataFrame(found, columns=["query_id", "found"])
+
+    hits = cells.groupBy("block", "part").cogroup(wanted.groupBy("block", "part")).applyInPandas(best, "query_id long, found array<struct<away:float,key:long>>")
+    merged = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, keep).alias("found"))
+    near = merged.select("query_id", F.explode("found.key").alias("key")).distinct()
+    both = near.join(index.select("key", "vector", "ids"), "key").join(small(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), 8 * d + 32), "query_id")
+
+    def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                x, q = np.array(frame["vector"].tolist()), np.array(frame["q"].tolist())
+                score = -((x - q) ** 2).sum(1) if by_distance else (x * q).sum(1)
+                yield pd.DataFrame({"query_id": frame["query_id"], "score": score, "ids": frame["ids"]})
+
+    scored = both.mapInPandas(exact, "query_id long, score double, ids array<long>")
+    rows = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("query_id")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return rows.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest_codes(ids: np.ndarray, q: np.ndarray, codes: np.ndarray, norms: np.ndarray | None, keys: np.ndarray, books: Codebooks, keep: int) -> list[tuple]:
+    """``query_id, found`` over one block: by table scores the ``keep`` best keys, those with the least ``away`` first."""
     out = []
-    for row, own_id in enumerate(q_ids.tolist()):
-        exact = (vectors[near[row]] * q[row]).sum(1)
-        hits: list[tuple[float, int]] = []
-        for j in np.argsort(-exact, kind="stable").tolist():
-            if len(hits) == k and -exact[j] > hits[-1][0]:
-                break
-            hits = sorted(hits + [(-float(exact[j]), i) for i in ids[near[row][j]] if i != own_id])[:k]
-        out.append((own_id, [{"score": -s, "vec_id": i} for s, i in hits]))
+    for at in range(0, len(q), _STEP):
+        tables = books.tables(q[at : at + _STEP])
+        score = np.empty((tables.shape[1], len(codes)), np.float32)
+        for lo in range(0, len(codes), _CODES):
+            part = slice(lo, lo + _CODES)
+            score[:, part] = tables[0][:, codes[part, 0]]
+            for m in range(1, len(tables)):
+                score[:, part] += tables[m][:, codes[part, m]]
+        away = -score if norms is None else norms - 2 * score
+        near = np.argpartition(away, keep - 1, axis=1)[:, :keep] if keep < len(codes) else np.broadcast_to(np.arange(len(codes)), away.shape)
+        for row, own in enumerate(ids[at : at + _STEP].tolist()):
+            out.append((own, [{"away": a, "key": x} for a, x in zip(away[row, near[row]].tolist(), keys[near[row]].tolist(), strict=True)]))
     return out
