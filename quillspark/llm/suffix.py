@@ -41,8 +41,10 @@ THRESHOLD = 50
 GRAM = 24
 WINDOW = THRESHOLD - GRAM + 1
 BLOCK_BYTES = 4 << 20
+#: A text of more bytes is cut into pieces of so many starts each, which overlap by a string less a byte.
+PIECE_BYTES = 4 << 20
 #: Ranks that a range of a round holds, about.
-RANGE_RANKS = 2_000_000
+RANGE_RANKS = 500_000
 _U = np.uint64
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _C, _D = _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -94,23 +96,35 @@ def _grams_range(x: np.ndarray, n: int) -> np.ndarray:
     return _fold((x ^ (x >> _U(31))) * _C, n)
 
 
-def _pack(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Blocks of documents in the order of their ids."""
+def _pieces(rows: Iterator[tuple], most: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+    """``doc_id, offset, digest of the text, digest of the piece, bytes``; the offset is -1 for a whole text."""
+    for doc_id, text in rows:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        digest = hashlib.sha256(raw).digest()[:16]
+        if len(raw) <= most:
+            yield doc_id, -1, digest, digest, raw
+            continue
+        for at in range(0, len(raw) - THRESHOLD + 1, most):
+            yield doc_id, at, digest, hashlib.sha256(digest + at.to_bytes(8, "big")).digest()[:16], raw[at : at + most + THRESHOLD - 1]
+
+
+def _pack(rows: Iterator[tuple], block_bytes: int, piece_bytes: int) -> Iterator[tuple]:
+    """Blocks of whole texts and of pieces of long ones, in the order of their ids."""
     held, size = [], 0
 
     def block() -> tuple:
-        held.sort(key=lambda r: (r[0], r[1]))
+        held.sort(key=lambda r: (r[0], r[1], r[2]))
         ids = np.array([r[0] for r in held], np.int64).tobytes()
-        digests = b"".join(hashlib.sha256(r[1]).digest()[:16] for r in held)
-        lens = np.array([len(r[1]) for r in held], np.int64).tobytes()
-        data = zstandard.ZstdCompressor(level=1).compress(b"".join(r[1] for r in held))
-        return xxhash.xxh64_intdigest(ids + digests) - (1 << 63), size, ids, lens, digests, data
-
-    for doc_id, text in rows:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        held.append((doc_id, raw))
-        size += len(raw)
-        if size >= BLOCK_BYTES:
+        offsets = np.array([r[1] for r in held], np.int64).tobytes()
+        texts, digests = b"".join(r[2] for r in held), b"".join(r[3] for r in held)
+        lens = np.array([len(r[4]) for r in held], np.int64).tobytes()
+        data = zstandard.ZstdCompressor(level=1).compress(b"".join(r[4] for r in held))
+        return xxhash.xxh64_intdigest(ids + offsets + digests) - (1 << 63), size, ids, offsets, lens, texts, digests, data
+
+    for piece in _pieces(rows, piece_bytes):
+        held.append(piece)
+        size += len(piece[4])
+        if size >= block_bytes:
             yield block()
             held, size = [], 0
     if held:
@@ -246,7 +260,7 @@ def _first(names: np.ndarray) -> np.ndarray:
     return first[inverse]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """One row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` for each row of ``docs``.
 
     Removed is each byte covered by a 50-byte string that also starts in a document with
@@ -254,14 +268,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text is empty and loses nothing, as does a text of under 50 bytes and a row without
     an id, which takes no part. Repeated rows (equal ids) don't count against each other.
     An empty table gives no rows; other columns are not read. Two different strings are
-    taken for equal only if their ranks meet in 56 bits within a range of about two
-    million, and two texts only if 128 bits of SHA-256 do.
+    taken for equal only if their ranks meet in 56 bits within a range of about half a
+    million, and two texts only if 128 bits of SHA-256 do. A long text is worked on in
+    pieces, so that a task's memory depends on its own text as Spark holds it and not on
+    a multiple of it.
     """
     spark = docs.sparkSession
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     table = f"quill_blocks_{uuid.uuid4().hex}"
-    packed = map_rows(named, _pack, "block long, size long, ids binary, lens binary, digests binary, data binary")
+    packed = map_rows(named, lambda rows: _pack(rows, block_bytes, piece_bytes), "block long, size long, ids binary, offsets binary, lens binary, texts binary, digests binary, data binary")
     packed.write.bucketBy(slots, "block").saveAsTable(table)
     blocks = spark.table(table)
     total, count = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.octet_length("ids") / 8), F.lit(0))).first()
@@ -270,12 +286,46 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         result = durable(_rounds(blocks, parts))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+    whole = result.where(F.col("n_bytes").isNotNull()).drop("text")
+    if not result.where(F.col("n_bytes").isNull()).isEmpty():
+        whole = whole.union(_joined_pieces(named, result.where(F.col("n_bytes").isNull()), piece_bytes))
     text = F.coalesce(F.col(text_col), F.lit(""))
     unnamed = docs.where(F.col(id_col).isNull()).select(
         F.lit(None).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
         F.sha2(text, 256).alias("kept_sha256"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"),
     )
-    return result.union(unnamed)
+    return whole.union(unnamed)
+
+
+def _joined_pieces(named: DataFrame, pieces: DataFrame, piece_bytes: int) -> DataFrame:
+    """The rows of long texts from the removed runs of their pieces; ``pieces`` has a row for each."""
+    spans = pieces.groupBy(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).agg(F.flatten(F.collect_list("spans")).alias("found"))
+    long = named.where(F.octet_length("text") > piece_bytes)
+    joined = long.join(spans, (F.col("doc_id") == F.col("__id")) & (F.substring(F.sha2("text", 256), 1, 32) == F.col("__text")))
+
+    def finish(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, text, found in rows:
+            merged: list[tuple[int, int]] = []
+            for start, stop in sorted((x["start"], x["stop"]) for x in found):
+                if merged and start <= merged[-1][1]:
+                    merged[-1] = (merged[-1][0], max(stop, merged[-1][1]))
+                else:
+                    merged.append((start, stop))
+            yield _finished(doc_id, text.encode("utf-8", "surrogatepass"), merged)
+
+    return map_rows(joined.select("doc_id", "text", "found"), finish, _RESULT)
+
+
+def _finished(doc_id: int, raw: bytes, spans: list[tuple[int, int]]) -> tuple:
+    kept, last = hashlib.sha256(), 0
+    for start, stop in spans:
+        kept.update(memoryview(raw)[last:start])
+        last = stop
+    kept.update(memoryview(raw)[last:])
+    return doc_id, len(raw), sum(e - s for s, e in spans), len(spans), kept.hexdigest(), [{"start": s, "stop": e} for s, e in spans]
+
+
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>"
 
 
 def _rounds(blocks: DataFrame, parts: tuple[int, int, int]) -> DataFrame:
@@ -309,7 +359,7 @@ def _rounds(blocks: DataFrame, parts: tuple[int, int, int]) -> DataFrame:
     known = known.join(third.withColumnRenamed("answers", "r2"), "block", "left")
 
     def remove(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for _, ids, lens, digests, data, r0, r1, r2 in rows:
+        for _, ids, offsets, lens, texts, digests, data, r0, r1, r2 in rows:
             own = _Block(ids, lens, digests, parts)
             copied = own.copied(r0)
             doc, at, name, choice = own.strings(data, copied, own.shared(data, copied, r1 or []))
@@ -318,12 +368,9 @@ def _rounds(blocks: DataFrame, parts: tuple[int, int, int]) -> DataFrame:
             elsewhere = np.zeros(len(name), bool)
             elsewhere[sent] = _heard(_fold(choice[sent], parts[2]), r2 or [])
             gone = (own.ids[doc[first]] < own.ids[doc]) | elsewhere[first]
-            yield from _results(own, data, copied, doc[gone], at[gone])
+            yield from _results(own, np.frombuffer(offsets, np.int64), texts, data, copied, doc[gone], at[gone])
 
-    return map_rows(
-        known.select("block", "ids", "lens", "digests", "data", "r0", "r1", "r2"), remove,
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>",
-    )
+    return map_rows(known.select("block", "ids", "offsets", "lens", "texts", "digests", "data", "r0", "r1", "r2"), remove, f"{_RESULT}, text string")
 
 
 def _low(names: np.ndarray) -> np.ndarray:
@@ -331,21 +378,19 @@ def _low(names: np.ndarray) -> np.ndarray:
     return (names * _D) >> _U(32)
 
 
-def _results(own: _Block, data: bytes, copied: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
+def _results(own: _Block, offsets: np.ndarray, texts: bytes, data: bytes, copied: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
+    """A finished row for each whole text; for a piece its removed runs, and which text it is a piece of."""
     raw = zstandard.ZstdDecompressor().decompress(data) if own.lens.sum() else b""
     ends = np.cumsum(own.lens)
     starts = np.searchsorted(doc, np.arange(len(own.ids) + 1))
-    for k, (doc_id, n, end) in enumerate(zip(own.ids.tolist(), own.lens.tolist(), ends.tolist(), strict=True)):
-        text = raw[end - n : end]
+    for k, (doc_id, n, end, offset) in enumerate(zip(own.ids.tolist(), own.lens.tolist(), ends.tolist(), offsets.tolist(), strict=True)):
         if copied[k] and n >= THRESHOLD:
             spans = [(0, n)]
         else:
             places = at[starts[k] : starts[k + 1]].astype(np.int64)
             new = np.flatnonzero(np.diff(places) > THRESHOLD) + 1
             spans = [(int(p[0]), int(p[-1]) + THRESHOLD) for p in np.split(places, new)] if len(places) else []
-        kept, last = hashlib.sha256(), 0
-        for start, stop in spans:
-            kept.update(text[last:start])
-            last = stop
-        kept.update(text[last:])
-        yield doc_id, n, sum(e - s for s, e in spans), len(spans), kept.hexdigest(), [{"start": s, "stop": e} for s, e in spans]
+        if offset < 0:
+            yield *_finished(doc_id, raw[end - n : end], spans), None
+        else:
+            yield doc_id, None, None, None, None, [{"start": s + offset, "stop": e + offset} for s, e in spans], texts[16 * k : 16 * k + 16].hex()
