@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_rows
+from quillspark.llm.common import join_counted, map_rows, own_names
 from quillspark.session import durable
 
 LEADING = 3
@@ -35,8 +35,8 @@ SIMILARITY = 0.8
 EVIDENCE = ((51, 2, 2), (21, 4, 3), (0, 8, 5))
 #: The share of words from which a document is a copy of another.
 COPY = 0.8
-#: Distinct lines of a leaf that one task groups at first; groups of the parts are then joined.
-LEAF_LINES = 20_000
+#: Parts into which the distinct lines of every leaf, large or small, are dealt at first; founders of the parts are then grouped again.
+PARTS = 64
 _DIGIT = re.compile(r"\d")
 _ROWS = "key long, doc_id long, line int, leaf long, sig binary, fresh int, size long, fixed int"
 
@@ -90,35 +90,57 @@ def _least(tokens: int) -> int:
     return int(np.ceil(SIMILARITY * tokens - 1e-9))
 
 
+class _Groups:
+    """The founders of one part, found by bands: tokens that differ leave one of the bands as it is."""
+
+    def __init__(self, tokens: int) -> None:
+        self.need = _least(tokens)
+        apart = tokens - self.need  # so many tokens may differ; the leading ones never do
+        self.cuts = np.linspace(min(LEADING, tokens), tokens, apart + 2).round().astype(int).tolist()
+        self.founders, self.keys, self.n = np.zeros((4, tokens), np.uint16), [], 0
+        self.places: dict[tuple[int, bytes], list[int]] = {}
+
+    def first(self, sig: bytes) -> int | None:
+        """The key of the first founder that the line agrees with; else None, and the line is one."""
+        tokens = np.frombuffer(sig, np.uint16)
+        bands = [(k, sig[2 * a : 2 * b]) for k, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False))]
+        near = sorted({p for band in bands for p in self.places.get(band, ())})
+        if near:
+            hits = np.flatnonzero((self.founders[near] == tokens).sum(1) >= self.need)
+            if len(hits):
+                return self.keys[near[hits[0]]]
+        if self.n == len(self.founders):
+            self.founders = np.concatenate([self.founders, np.zeros_like(self.founders)])
+        self.founders[self.n] = tokens
+        for band in bands:
+            self.places.setdefault(band, []).append(self.n)
+        self.n += 1
+        return None
+
+
 def _group(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """``leaf, sig_key, founder_key, founder`` for ``part, leaf, sig_key, sig`` rows that come by part.
+    """``leaf, sig_key, founder_key, founder, n_docs`` for ``part, leaf, sig_key, sig, n_docs`` rows that come by part.
 
     ``founder`` is the signature where the line founds a group, else null. What is held
     are the founders of one part.
     """
-    part, founders, keys, n = None, np.zeros((0, 0), np.uint16), [], 0
-    for this, leaf, sig_key, sig in rows:
-        tokens = np.frombuffer(sig, np.uint16)
-        if this != part:
-            part, founders, keys, n = this, np.zeros((4, len(tokens)), np.uint16), [], 0
-        hits = np.flatnonzero((founders[:n] == tokens).sum(1) >= _least(len(tokens))) if n else ()
-        if len(hits):
-            yield leaf, sig_key, keys[hits[0]], None
-            continue
-        if n == len(founders):
-            founders = np.concatenate([founders, np.zeros_like(founders)])
-        founders[n], n = tokens, n + 1
-        keys.append(sig_key)
-        yield leaf, sig_key, sig_key, sig
+    last, groups = None, _Groups(0)
+    for part, leaf, sig_key, sig, n_docs in rows:
+        if part != last:
+            last, groups = part, _Groups(len(sig) // 2)
+        found = groups.first(sig)
+        if found is None:
+            groups.keys.append(sig_key)
+        yield leaf, sig_key, sig_key if found is None else found, sig if found is None else None, n_docs
 
 
-_GROUP = "leaf long, sig_key long, founder_key long, founder binary"
+_GROUP = "leaf long, sig_key long, founder_key long, founder binary, n_docs long"
 
 
 def _grouped(lines: DataFrame) -> DataFrame:
     """``_group`` over rows with ``part, leaf, sig_key, sig, n_docs``, the most frequent line first."""
     ordered = lines.repartition("part").sortWithinPartitions("part", F.desc("n_docs"), "sig")
-    return map_rows(ordered.select("part", "leaf", "sig_key", "sig"), _group, _GROUP)
+    return map_rows(ordered.select("part", "leaf", "sig_key", "sig", "n_docs"), _group, _GROUP)
 
 
 def _evidence(which: int) -> Column:
@@ -130,23 +152,21 @@ def _evidence(which: int) -> Column:
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """``sig_key, template`` of the distinct lines whose leaf may recur."""
-    hot = rows.groupBy("leaf").agg(F.sum("fresh").alias("n"), F.max("fixed").alias("fixed")).where(F.col("n") >= _evidence(1)).select("leaf")
-    lines = rows.join(hot, "leaf", "left_semi").groupBy("leaf", "sig").agg(F.sum("fresh").alias("n_docs"))
-    lines = durable(lines.withColumn("sig_key", F.xxhash64("leaf", "sig")))
-    sizes = lines.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_LINES).alias("parts"))
-    parted = lines.join(sizes, "leaf").withColumn("part", F.xxhash64("leaf", F.pmod("sig_key", F.col("parts"))))
-    first = durable(_grouped(parted))
-    # Founders of a leaf that was grouped in parts are grouped again among themselves.
-    again = first.where(F.col("founder").isNotNull()).join(sizes.where("parts > 1"), "leaf")
-    again = again.join(lines.select("sig_key", "n_docs"), "sig_key").select(F.col("leaf").alias("part"), "leaf", "sig_key", F.col("founder").alias("sig"), "n_docs")
-    second = _grouped(again).select(F.col("sig_key").alias("founder_key"), F.col("founder_key").alias("joined")).where("founder_key <> joined")
-    # A line follows its founder into another group only if it agrees with that group's founder too.
+    """``sig_key, template, n`` of the distinct lines whose leaf may recur; ``n`` is in how many documents."""
+    every = durable(rows.groupBy("leaf", "sig").agg(F.sum("fresh").alias("n_docs"), F.max("fixed").alias("fixed")))
+    leaves = every.groupBy("leaf").agg(F.sum("n_docs").alias("n_docs"), F.max("fixed").alias("fixed"), F.count("*").alias("n"))
+    hot = durable(leaves.where(F.col("n_docs") >= _evidence(1)).select("leaf", "n"))
+    lines = durable(join_counted(every.select("leaf", "sig", "n_docs"), hot, "leaf").withColumn("sig_key", F.xxhash64("leaf", "sig")))
+    first = durable(_grouped(lines.withColumn("part", F.xxhash64("leaf", F.pmod("sig_key", F.lit(PARTS))))))
+    founders = first.where(F.col("founder").isNotNull()).select(F.col("leaf").alias("part"), "leaf", "sig_key", F.col("founder").alias("sig"), "n_docs")
+    second = durable(_grouped(founders).select(F.col("sig_key").alias("founder_key"), F.col("founder_key").alias("joined")).where("founder_key <> joined"))
+    # A line that is no founder follows its founder only if it agrees with the new one too.
     sigs = lines.select("sig_key", "sig")
-    moved = first.select("sig_key", "founder_key").join(second, "founder_key").join(sigs, "sig_key")
+    moved = first.where(F.col("founder").isNull()).select("sig_key", "founder_key").join(second, "founder_key").join(sigs, "sig_key")
     moved = moved.join(sigs.select(F.col("sig_key").alias("joined"), F.col("sig").alias("other")), "joined")
     agreed = map_rows(moved.select("sig_key", "sig", "joined", "other"), _agreeing, "sig_key long, joined long")
-    return durable(first.join(agreed, "sig_key", "left").select("sig_key", F.coalesce("joined", "founder_key").alias("template")))
+    follows = agreed.union(second.select(F.col("founder_key").alias("sig_key"), "joined"))
+    return durable(first.join(follows, "sig_key", "left").select("sig_key", F.coalesce("joined", "founder_key").alias("template"), F.col("n_docs").alias("n")))
 
 
 def _agreeing(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -158,9 +178,9 @@ def _agreeing(rows: Iterator[tuple]) -> Iterator[tuple]:
 
 def _classes(held: DataFrame, rows: DataFrame) -> DataFrame:
     """``key, origin`` of each document that is a copy of an earlier one."""
-    first = held.groupBy("template").agg(F.min("doc_id").alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = durable(held.groupBy("template").agg(F.min("doc_id").alias("origin"), F.count("*").alias("n")).where("n > 1"))
     sizes = durable(rows.where(F.col("size").isNotNull()).groupBy("key", "doc_id").agg(F.max("size").alias("size"), F.count("*").alias("copies")))
-    shared = held.where("fresh = 1").join(first, "template").where("doc_id <> origin").groupBy("key", "origin").agg(F.sum("words").alias("shared"))
+    shared = join_counted(held.where("fresh = 1"), first, "template").where("doc_id <> origin").groupBy("key", "origin").agg(F.sum("words").alias("shared"))
     of_origin = sizes.groupBy(F.col("doc_id").alias("origin")).agg(F.max("size").alias("origin_size"))
     both = shared.join(sizes, "key").join(of_origin, "origin")
     return both.where(F.col("shared") >= F.greatest("size", "origin_size") * F.col("copies") * COPY - 1e-6).select("key", "origin")
@@ -174,13 +194,13 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.where(F.col(id_col).isNotNull()).select(document_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = durable(map_rows(source, _line_rows, _ROWS))
     slim = rows.select("key", "doc_id", "line", F.xxhash64("leaf", "sig").alias("sig_key"), "fresh", "fixed", F.expr("length(sig) div 2").alias("words"))
-    held = durable(slim.join(_members(rows), "sig_key").drop("sig_key"))
+    held = durable(join_counted(slim, _members(rows), "sig_key").drop("sig_key"))
     copies = durable(_classes(held, rows))
     classed = held.join(copies, "key", "left").select("key", "doc_id", "line", "template", "fresh", "fixed", F.coalesce("origin", "doc_id").alias("class"))
     per_class = classed.groupBy("template", "class").agg(F.sum("fresh").alias("n"), F.min("doc_id").alias("doc_id"), F.min("fixed").alias("fixed"))
     totals = per_class.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_different"), F.min(F.struct("doc_id", "class")).alias("first"), F.min("fixed").alias("fixed"))
-    out = totals.where((F.col("n_docs") >= _evidence(1)) & (F.col("n_different") >= _evidence(2))).select("template", F.col("first.class").alias("home"))
-    marked = classed.join(out, "template").where(F.col("class") != F.col("home"))
+    out = durable(totals.where((F.col("n_docs") >= _evidence(1)) & (F.col("n_different") >= _evidence(2))).select("template", F.col("first.class").alias("home"), F.col("n_docs").alias("n")))
+    marked = join_counted(classed, out, "template").where(F.col("class") != F.col("home"))
     return marked.groupBy("key").agg(F.collect_set("line").alias("drop"))
 
 
@@ -189,16 +209,18 @@ def document_key(id_col: str, text_col: str):
 
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its recurring lines dropped, and a column ``__dropped`` with how many.
+    """``docs`` with its recurring lines dropped, and a last column ``__dropped`` with how many.
 
     Every row stays, its text less the dropped lines (and their line ends). A text that
     loses none is unchanged, a null text stays null, a row without an id takes no part
     and is unchanged, repeated rows are changed alike, and an empty table gives no rows.
+    Any column may be there already; the last one then has underscores added to its name.
     """
-    drops = durable(recurring_lines(docs, id_col, text_col)).select(F.col("key").alias("__key"), F.col("drop").alias("__drop"))
-    keyed = docs.withColumn("__k", F.when(F.col(id_col).isNotNull(), document_key(id_col, text_col)))
-    joined = keyed.join(drops, F.col("__k") == F.col("__key"), "left")
+    out, own, key, drop = own_names(docs.columns, "__dropped", "__own", "__key", "__drop")
+    drops = durable(recurring_lines(docs, id_col, text_col)).select(F.col("key").alias(key), F.col("drop").alias(drop))
+    keyed = docs.withColumn(own, F.when(F.col(id_col).isNotNull(), document_key(id_col, text_col)))
+    joined = keyed.join(drops, F.col(own) == F.col(key), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__drop", i)), "\n")
-    text = F.when(F.col("__drop").isNotNull(), kept).otherwise(F.col(text_col))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size("__drop"), F.lit(0)).alias("__dropped"))
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col(drop), i)), "\n")
+    text = F.when(F.col(drop).isNotNull(), kept).otherwise(F.col(text_col))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size(drop), F.lit(0)).alias(out))
