@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_rows
+from quillspark.llm.common import map_rows, row_key, without
 from quillspark.session import durable
 
 #: Masks of equal weight. Together they hit every run of 8 to 20 tokens of which 80 % agree, wherever the others are (by enumeration).
@@ -147,8 +147,8 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
     Null and empty texts overlap with nothing; repeated rows give one row for each pair;
     null ids are ids like any other on the document side and take no part on the item
-    side; other columns are not read. Items that are no longer than ``SHORT_TOKENS``
-    must occur as they are.
+    side; other columns are not read. Items of fewer tokens than ``SHORT_TOKENS`` must
+    occur as they are.
     """
     items = items.where(F.col("item_id").isNotNull())
     probes = durable(item_seeds(items))
@@ -221,6 +221,11 @@ def _stretch(tokens: np.ndarray, diagonal: int, n: int) -> tuple[int, bytes]:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that overlap with no test item; rows without an id stay."""
-    out = overlaps(docs, items).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__out")).distinct()
-    return docs.join(out, docs["doc_id"].cast("long") == out["__out"], "left_anti")
+    """The rows of ``docs`` that overlap with no test item; rows without an id stay.
+
+    Columns are those of ``docs``, whatever their names. A row is judged by its own text:
+    rows that share an id may part, repeated rows stay or go together. Null and empty
+    texts stay; an empty table gives no rows.
+    """
+    keyed = docs.where(F.col("doc_id").isNotNull()).select(row_key().alias("key"), F.col("text").alias("text"))
+    return without(docs, overlaps(keyed, items, id_col="key").select(F.col("doc_id").alias("key")))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.llm.common import own_names
 from quillspark.session import durable
 
 #: Words in a block, about.
@@ -279,12 +280,15 @@ def mix(docs: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
 def mixed_documents(docs: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
     """The mix itself: a row of ``docs`` for each of its places, with ``mix_shard`` and ``mix_pass``.
 
-    Shards come as runs of partitions, shuffled locally. What is null, empty or repeated
-    is as in ``mix``; a document that the mix takes no time has no row.
+    A shard's rows are in its own partitions, shuffled locally; a partition may hold
+    several shards, in runs. What is null, empty or repeated is as in ``mix``; a document
+    that the mix takes no time has no row. Any column may be there already, but for one
+    named ``mix_shard`` or ``mix_pass``, which is replaced.
     """
-    own = [c for c in docs.columns if c not in ("mix_shard", "mix_pass")]
-    plan = _small(_plan(_measured(docs), depth))
-    joined = docs.join(plan, docs["source"].cast("string").eqNullSafe(F.col("__source")))
-    placed = joined.select(*[docs[c] for c in own], F.explode(_places(docs["doc_id"].cast("long"), F.col("__plan"))).alias("__place"))
-    rows = placed.select(*own, F.col("__place.shard").alias("mix_shard"), F.col("__place.pass").alias("mix_pass"), F.col("__place.at").alias("__at"))
-    return rows.repartition(F.col("mix_shard"), F.pmod("__at", F.lit(16))).sortWithinPartitions("mix_shard", "__at").drop("__at")
+    own = [c for c in docs.columns if c.lower() not in ("mix_shard", "mix_pass")]
+    source, plan_name, place, at = own_names(own, "__source", "__plan", "__place", "__at")
+    plan = _small(_plan(_measured(docs), depth)).withColumnsRenamed({"__source": source, "__plan": plan_name})
+    joined = docs.select(*own).join(plan, F.col("source").cast("string").eqNullSafe(F.col(source)))
+    placed = joined.select(*own, F.explode(_places(F.col("doc_id").cast("long"), F.col(plan_name))).alias(place))
+    rows = placed.select(*own, F.col(f"{place}.shard").alias("mix_shard"), F.col(f"{place}.pass").alias("mix_pass"), F.col(f"{place}.at").alias(at))
+    return rows.repartition(F.col("mix_shard"), F.pmod(at, F.lit(16))).sortWithinPartitions("mix_shard", at).drop(at)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_rows
+from quillspark.llm.common import map_rows, row_key, without
 from quillspark.session import durable
 
 #: Most labelled rows that a fit may gather on the driver (about 200 bytes each).
@@ -215,9 +215,23 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
 def keep_accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", accept: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts; rows without an id stay.
 
-    Columns are those of ``docs``. Decisions are per id and depend on the whole text, so
-    repeated rows stay or go together.
+    Columns are those of ``docs``, whatever their names. A row is judged by its own text,
+    so rows that share an id may part and repeated rows stay or go together. A null text
+    is judged as the empty one; an empty table gives no rows.
     """
-    rejected = classify(docs, labels, label_col).where((F.col("score") < accept) & F.col("doc_id").isNotNull())
-    out = rejected.select(F.col("doc_id").alias("__out")).distinct()
-    return docs.join(out, docs["doc_id"].cast("long") == out["__out"], "left_anti")
+    slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").alias("text"))
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, key, text in rows:
+            yield doc_id, key, statistics(text)
+
+    stats = durable(map_rows(slim, run, "doc_id long, key long, x array<float>"))
+    forest = train(stats, labels, label_col)
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                out = forest.score(np.array(frame["x"].tolist(), np.float32)) < accept
+                yield frame.loc[out, ["key"]]
+
+    return without(docs, stats.mapInPandas(judge, "key long"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import ann, decontaminate, lines, mixing, quality, secrets, simhash, sitestyle, suffix, warc
-from quillspark.session import load
+from quillspark.session import checkpoint_dir, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,9 +24,10 @@ QUERIES["op4_simhash"] = op4_simhash
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(load(spark, sf_dir, "documents"))
-    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"))
+    """A ledger of its own, so that a run doesn't depend on what earlier ones left."""
+    ledger = secrets.Ledger(spark, f"{checkpoint_dir(spark)}/secrets-{uuid.uuid4().hex}")
+    found = secrets.scan(load(spark, sf_dir, "documents"), ledger)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secrets.join_spans(F.col("spans")).alias("spans"))
 
 
 QUERIES["op6_secrets"] = op6_secrets
@@ -60,8 +62,12 @@ QUERIES["op1_html"] = op1_html
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, and where: the shard that the tree deals each pass to, and its order there."""
     mixed = mixing.mix(load(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("places")).alias("taken"))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("places")).alias("taken"),
+        F.col("places.shard").alias("shards"), F.col("places.at").alias("orders"),
+    )
 
 
 QUERIES["op2_mixing"] = op2_mixing
@@ -86,7 +92,7 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: its lines, how many were dropped, and a digest of the rest."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
     out = lines.drop_recurring(docs)
-    return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.col(out.columns[-1]).cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 QUERIES["op5_lines"] = op5_lines

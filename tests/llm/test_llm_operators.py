@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, decontaminate, lines, mixing, quality, secrets, simhash, warc
+from quillspark.llm import ann, common, decontaminate, lines, mixing, quality, secrets, simhash, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -110,18 +110,45 @@ SECRETS = [
 ]
 
 
-def test_secrets_like_plain_rules_and_incrementally(spark):
+def test_secrets_like_plain_rules_and_incrementally(spark, tmp_path):
     rows = [(i, t, "s") for i, t in enumerate(SECRETS)] + [(50, SECRETS[2], "s"), (50, SECRETS[2], "s"), (None, SECRETS[5], None)]
     docs = frame(spark, rows)
-    found, fresh = secrets.scan(docs)
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    found = secrets.scan(docs, ledger).cache()
     got = sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in found.collect())
     assert got == sorted((str(i), *plain_secrets(t)) for i, t, _ in rows)
-    assert fresh.count() == len({t or "" for _, t, _ in rows})
+    pairs = 2 * len({t or "" for _, t, _ in rows})
+    assert ledger.entries().count() == pairs
     kinds = {s["kind"] for r in found.collect() for s in r.spans}
     assert {"private_key", "forge_token"} <= kinds
     more = frame(spark, [*rows, (60, "token: zzzzzzzzzzzz9", "s"), (61, SECRETS[4], "s")])
-    again, newer = secrets.scan(more, ledger=fresh)
-    assert newer.count() == 1 and again.count() == len(rows) + 2
+    again = secrets.scan(more, ledger).count()  # one new text, under both rule versions
+    assert again == len(rows) + 2 and ledger.entries().count() == pairs + 2
+    # A new version of one rule set is scanned alone, over texts of any age.
+    newer = secrets.RuleSet("extra-3", (("chat_token", re.compile("t[o]ken"), 0, 1),), {})
+    scanned = secrets.scan(more, ledger, rule_sets=(secrets.BASE, newer)).collect()
+    assert ledger.entries().groupBy("rule_version").count().collect().__len__() == 3 and ledger.entries().count() == pairs + 2 + pairs // 2 + 1
+    assert sum(s["kind"] == "chat_token" for r in scanned for s in r.spans) >= 4 and not any(s["kind"] == "forge_token" for r in scanned for s in r.spans)
+    assert secrets.scan(docs.limit(0), secrets.Ledger(spark, f"file://{tmp_path}/none")).collect() == []
+
+
+def test_versions_of_a_path_join_back(spark, tmp_path):
+    """Every historical version has its findings; a blob that several paths hold is scanned once."""
+    text = "x github_pat_" + "a1B2" * 15
+    rows = [("a", 1, text), ("a", 2, "clean"), ("a", 3, text), ("b", 1, text), ("c", 1, None), ("d", 1, "y " * 3_000_000 + "token=abcdefghijklmnop")]
+    versions = spark.createDataFrame(rows, "path string, version int, text string")
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    got = {(r.path, r.version): [(s["kind"], s["start"], s["stop"]) for s in r.spans] for r in secrets.scan(versions, ledger, id_cols=("path", "version")).collect()}
+    pat = [("forge_token", 2, len(text))]
+    assert got == {("a", 1): pat, ("a", 2): [], ("a", 3): pat, ("b", 1): pat, ("c", 1): [], ("d", 1): [("assign", 6_000_000, 6_000_022)]}
+    assert ledger.entries().count() == 2 * 4
+
+
+def test_frequent_blobs_join_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = [(i, "token: aaaaaaaaaaaaaaa" if i < 30 else f"password={'b' * i}", "s") for i in range(40)]
+    got = {r.doc_id: r.n_assign for r in secrets.scan(frame(spark, rows), secrets.Ledger(spark, f"file://{tmp_path}/l")).collect()}
+    assert got == {i: 1 for i in range(40)}
 
 
 # Quality ------------------------------------------------------------------------------------------
@@ -277,8 +304,9 @@ def test_recurring_templates_go_copies_stay(spark):
     assert lines.drop_recurring(docs.limit(0)).collect() == []
 
 
-def test_grouping_in_parts_joins_again(spark, monkeypatch):
-    monkeypatch.setattr(lines, "LEAF_LINES", 3)
+@pytest.mark.parametrize("parts", [1, 3, 64])
+def test_grouping_in_parts_joins_again(spark, monkeypatch, parts):
+    monkeypatch.setattr(lines, "PARTS", parts)
     rng = random.Random(7)
     rows = [(i, f"{prose(rng, 9)}\nalpha beta gamma name{'abcdefghijklmnopqrst'[i]} has signed the visitors book today here\n{prose(rng, 9)}", "s") for i in range(20)]
     out = {r.doc_id: r.text for r in lines.drop_recurring(frame(spark, rows)).collect()}
@@ -316,15 +344,15 @@ def test_decontamination_edges(spark):
 # Nearest neighbours -------------------------------------------------------------------------------
 
 
-def test_neighbours_recall_ties_and_edges(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 300)
+def test_neighbours_recall_ties_and_edges(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
     x[100:700] = x[99]  # a very common vector
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     odd = [(5000, None, 0), (5020, [0.0] * 16, 0), (5040, [float("nan")] * 16, 0), (5060, [None] + [1.0] * 15, 0), (5080, [float("inf")] * 16, 0), (5100, [1.0, 2.0], 0), (None, x[3].tolist(), 0)]
     table = spark.createDataFrame(rows + odd + [rows[7]], "vec_id long, embedding array<float>, rank int")
-    got = ann.search(table, table.where("vec_id % 20 = 0"), k=20).collect()
+    # Few of many codes are reranked, in blocks: what is found comes through the quantiser.
+    got = ann.search(table, table.where("vec_id % 20 = 0"), k=20, rerank=100, block_rows=200).collect()
     by_query = {}
     for r in got:
         by_query.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -338,6 +366,41 @@ def test_neighbours_recall_ties_and_edges(spark, monkeypatch):
         exact = sorted((i for i in range(1500) if i != q), key=lambda i: (-float((y[i] * y[q]).sum()), i))[:20]
         hits += len(set(exact) & {i for _, i, _ in found})
     assert hits / (20 * len(by_query)) >= 0.9
+    again = ann.search(table, table.where("vec_id % 20 = 0"), k=20, rerank=100).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))  # whatever the blocks
     few = ann.search(table.where("vec_id < 3"), table.where("vec_id = 0"), k=20).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
     assert ann.search(table.limit(0), table.limit(0)).collect() == []
+
+
+def test_neighbours_by_distance_use_stored_norms(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 12)) * rng.uniform(0.2, 4, size=(1200, 1))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(table, table.where("vec_id % 50 = 0"), k=10, rerank=60, measure="l2").collect()
+    hits = 0
+    for q in range(0, 1200, 50):
+        away = ((x - x[q]) ** 2).sum(1)
+        exact = [i for i in np.argsort(away) if i != q][:10]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert len(mine) == 10 and all(s == pytest.approx(-away[i], abs=1e-9) for _, i, s in mine)
+        hits += len(set(exact) & {i for _, i, _ in mine})
+    assert hits / 240 >= 0.9
+
+
+def test_production_recall_on_the_supplied_vectors(spark):
+    """``op10_ann`` itself: a rerank of 256 of 2,000 codes against brute force."""
+    from quillspark.llm import queries
+    from quillspark.session import load
+
+    sf = "/root/testdata/sf0.1"
+    rows = load(spark, sf, "embeddings").select("vec_id", "embedding").toPandas().dropna()
+    x, ids = np.array(rows["embedding"].tolist(), np.float64), rows["vec_id"].to_numpy()
+    found, total, hits = {}, 0, 0
+    for r in queries.op10_ann(spark, sf).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, v in zip(ids.tolist(), x, strict=True):
+        if q % 20 == 0 and q in found:
+            order = [i for i in ids[np.lexsort((ids, -(x @ v)))].tolist() if i != q][:20]
+            hits, total = hits + len(found[q] & set(order)), total + 20
+    assert total >= 1500 and hits / total >= 0.95

@@ -49,9 +49,9 @@ def test_long_lines_need_less_evidence(spark):
     assert all(short in got[i] for i in range(7)) and all(numbers in got[20 + i] for i in range(3))
 
 
-@pytest.mark.parametrize("leaf_lines", [4, 9])
-def test_no_line_follows_its_founder_too_far(spark, monkeypatch, leaf_lines):
-    monkeypatch.setattr(lines, "LEAF_LINES", leaf_lines)
+@pytest.mark.parametrize("parts", [2, 5, 64])
+def test_no_line_follows_its_founder_too_far(spark, monkeypatch, parts):
+    monkeypatch.setattr(lines, "PARTS", parts)
     rng = random.Random(13)
     base, other = prose(rng, 20).split(), prose(rng, 20).split()
     chain = [" ".join([*base[:3], *other[3 : 3 + k], *base[3 + k :]]) for k in range(18)]  # neighbours differ in one token
