@@ -55,36 +55,39 @@ def source_paragraphs(text: str | None, counts: list[int] | None = None, limit:
     return [" ".join(group) for group in pack(sentences, limit, 1)]
 
 
-def _cut(text: str, limit: int, marks: tuple[str, ...], share: float, window: int) -> int:
-    """Where to cut a text that is too long: after the last mark, else at the last space, if late enough; else at the limit."""
-    head, least = text[:window], int(limit * share)
-    mark = max(head.rfind(m) for m in marks)
+_SPACES = re.compile(r"\s*")
+
+
+def _cut(text: str, begin: int, limit: int) -> int:
+    """Where the piece that begins there ends: after its last sentence mark, else at its last space, if late enough; else at the limit."""
+    stop, least = begin + limit + 1, begin + int(limit * 0.55)
+    mark = max(text.rfind(m, begin, stop) for m in (". ", "。", "！", "？"))
     if mark >= least:
         return mark + 1
-    space = head.rfind(" ")
-    return space if space >= least else limit
+    space = text.rfind(" ", begin, stop)
+    return space if space >= least else begin + limit
 
 
 def split_oversized(text: str, limit: int) -> list[str]:
     """Trimmed pieces of at most ``limit`` characters, cut at sentence ends or spaces where they come late enough."""
-    out = []
-    while len(text) > limit:
-        at = _cut(text, limit, (". ", "。", "！", "？"), 0.55, limit + 1)
-        out.append(text[:at].strip())
-        text = text[at:].lstrip()
-    return [*out, text] if text else out
+    out, begin = [], 0
+    while len(text) - begin > limit:
+        at = _cut(text, begin, limit)
+        out.append(text[begin:at].strip())
+        begin = _SPACES.match(text, at).end()
+    return [*out, text[begin:]] if begin < len(text) else out
 
 
 def lossless_windows(text: str | None, limit: int) -> list[str]:
     """Contiguous windows whose concatenation is the text itself."""
-    out, rest = [], text or ""
-    while len(rest) > limit:
-        head = rest[:limit]
-        mark, space = max(head.rfind(m) for m in ("\n\n", ". ", "。")), head.rfind(" ")
-        at = mark + 1 if mark >= limit * 0.5 else space + 1 if space >= limit * 0.5 else limit
-        out.append(rest[:at])
-        rest = rest[at:]
-    return [*out, rest] if rest else out
+    whole, out, begin = text or "", [], 0
+    while len(whole) - begin > limit:
+        stop, half = begin + limit, begin + limit * 0.5
+        mark, space = max(whole.rfind(m, begin, stop) for m in ("\n\n", ". ", "。")), whole.rfind(" ", begin, stop)
+        at = mark + 1 if mark >= half else space + 1 if space >= half else stop
+        out.append(whole[begin:at])
+        begin = at
+    return [*out, whole[begin:]] if begin < len(whole) else out
 
 
 def windows(paragraphs: list[str], limit: int = 7000) -> list[dict]:

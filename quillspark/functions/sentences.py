@@ -21,6 +21,7 @@ _TOKEN_END = re.compile(r"[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*$")
 _ADDRESS = re.compile(r"(?:https?://|www\.|@)\S*$", re.I)
 _DOTTED = re.compile(r"[A-Za-z](?:\.[A-Za-z])+")
 _BREAK = re.compile(r"\n{2,}")
+_GAP = re.compile(r"\s*")
 
 
 def _starts_sentence(c: str) -> bool:
@@ -33,7 +34,8 @@ def _is_end(text: str, start: int, stop: int) -> bool:
     mark, after = text[stop - 1], text[stop : stop + 1]
     if mark in "!?。！？":
         return True
-    following = text[stop:].lstrip()[:1] if after.isspace() else after
+    beyond = _GAP.match(text, stop).end()  # an offset: copying the rest of a text at every mark would be quadratic
+    following = text[beyond : beyond + 1]
     if mark == "…" or stop - start >= 2:
         return _starts_sentence(following)
     if text[stop - 2 : stop - 1].isdigit() and after.isdigit():
