@@ -75,6 +75,26 @@ def auto_stop(frames: Iterable[tuple[float, float, float]], timeout: float = AUT
     return deadline
 
 
+def coalesce_requests(requests: Iterable[float], cost: float) -> Iterator[tuple[float, float, int]]:
+    """Runs ``start, end, requests`` of one worker: what is asked while it runs makes one more run, at once after it."""
+    start = end = float("-inf")
+    now = waiting = 0
+    for at in requests:
+        while waiting and at >= end:
+            yield start, end, now
+            start, end, now, waiting = end, end + cost, waiting, 0
+        if at < end:
+            waiting += 1
+            continue
+        if now:
+            yield start, end, now
+        start, end, now = at, at + cost, 1
+    if now:
+        yield start, end, now
+    if waiting:
+        yield end, end + cost, waiting
+
+
 @dataclass
 class Job:
     key: str

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillspark.streaming.folds import Job, Segmenter, auto_stop, recycle_epochs, replay, segment_frames
+from quillspark.streaming.folds import Job, Segmenter, auto_stop, coalesce_requests, recycle_epochs, replay, segment_frames
 
 SEGMENT_DDL = "key string, start_ms double, stop_ms double, has_speech boolean, reason string"
 STATE_DDL = "start double, length double, quiet double, speech boolean"
@@ -76,6 +76,16 @@ def replay_schedule(jobs: DataFrame, slots: int = 1, capacity: int = 8) -> DataF
     return jobs.groupBy("lane").applyInPandas(fold, "lane string, step int, at double, job string, event string")
 
 
+def coalesced_runs(requests: DataFrame, cost: float) -> DataFrame:
+    """``lane, at, until, requests``: the runs that a lane's ``lane, at`` requests come to if one worker drains them."""
+
+    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        runs = [(key[0], *run) for run in coalesce_requests(frame["at"].sort_values(), cost)]
+        return pd.DataFrame(runs, columns=["lane", "at", "until", "requests"])
+
+    return requests.groupBy("lane").applyInPandas(fold, "lane string, at double, until double, requests int")
+
+
 def runner_epochs(requests: DataFrame) -> DataFrame:
     """``lane, at, epoch``: how often a lane's runner was replaced before each of its requests."""
 
