@@ -33,6 +33,14 @@ GENERIC_WORDS = (
     "what", "when", "where", "while", "why", "within", "without", "would", "yes", "yet",
 )
 
+# Words that say too little to support an edit.
+EDIT_GENERIC = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can", "could", "did", "do", "does", "for", "from", "had", "has", "have", "he", "her", "here", "him", "how",
+    "i", "if", "in", "into", "is", "it", "its", "just", "like", "look", "may", "me", "more", "most", "my", "no", "not", "of", "on", "one", "only", "or", "our", "out",
+    "right", "said", "say", "says", "she", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to",
+    "up", "us", "use", "used", "uses", "using", "very", "was", "we", "were", "what", "when", "where", "which", "who", "why", "will", "with", "would", "you", "your",
+)
+
 # Openings of a new topic.
 TRANSITION_CUES = (
     "now", "next", "next,", "however", "on the other hand", "in contrast", "therefore", "so", "as a result", "moving on", "let's move on", "let’s move on", "finally",

@@ -279,13 +279,13 @@ def resampled_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mono.select("event_id", F.round(half[0], 6).alias("a"), F.round(half[1], 6).alias("b"), F.round(slower[1], 6).alias("c"), F.size(slower).alias("n"))
 
 
-_ACCENTS = "áàâäãåéèêëíìîïóòôöõúùûüñçßœæ"
-_PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ01"
+ACCENTS = "áàâäãåéèêëíìîïóòôöõúùûüñçßœæ"
+PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ01"
 
 
 def d_distance(a: str, b: str) -> str:
     """Code-point distance of lower-case words: DuckDB counts bytes, so letters beyond ASCII become other single bytes."""
-    return f"levenshtein(translate({a}, '{_ACCENTS}', '{_PLAIN}'), translate({b}, '{_ACCENTS}', '{_PLAIN}'))"
+    return f"levenshtein(translate({a}, '{ACCENTS}', '{PLAIN}'), translate({b}, '{ACCENTS}', '{PLAIN}'))"
 
 
 @query(f"""SELECT session, ordinal, CAST({d_distance("a", "b")} AS INT) AS distance, CAST(CASE WHEN {d_distance("a", "b")} <= 3 THEN {d_distance("a", "b")} END AS INT) AS near FROM (

@@ -131,11 +131,6 @@ def artifact_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", guard.clean_artifacts(F.col("text")).alias("text"))
 
 
-@query()
-def number_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", F.explode(guard.number_mentions(F.col("text"))).alias("number"))
-
-
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     following = F.lead("text").over(Window.partitionBy("session").orderBy("ordinal"))
     return _turns(spark, sf_dir).select("session", "ordinal", "text", following.alias("candidate")).where("candidate IS NOT NULL")
