@@ -93,9 +93,15 @@ def stage_rollup(states: DataFrame, *keys: str) -> DataFrame:
 
 
 def first_match(left: DataFrame, right: DataFrame, on: list[str], order: str) -> DataFrame:
-    """``left`` with the first of the matching right rows by ``order``, or nulls."""
-    first = right.withColumn("__n", F.row_number().over(Window.partitionBy(*on).orderBy(order))).where("__n = 1").drop("__n")
-    return left.join(first, on, "left")
+    """``left`` with the first of the matching right rows by ``order``, or nulls; firsts are found map-side."""
+    return left.join(_first_rows(right, on, order), on, "left")
+
+
+def _first_rows(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row with the least ``order`` of each group of keys, null keys included."""
+    others = [c for c in rows.columns if c not in keys and c != order]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(order, *others), F.struct(F.col(order).isNotNull(), order)).alias("__first"))
+    return first.select(*[F.col(c) if c in keys else F.col(f"__first.{c}").alias(c) for c in rows.columns])
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -135,8 +141,7 @@ def daily_sequence(rows: DataFrame, date_col: str, order: list[str], counters: D
 
 def idempotent_ingest(chunks: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     """The first arrival of each chunk; later ones with its key are the same chunk."""
-    first = Window.partitionBy(*keys).orderBy(arrival)
-    return chunks.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return _first_rows(chunks, keys, arrival)
 
 
 def neighbour_after_delete(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from quillspark.functions import text as T
 from quillspark.functions import values as V
 from quillspark.operators import rollups
-from quillspark.plans.text_queries import D_PAIRS, d_space
+from quillspark.plans.text_queries import D_PAIRS, d_distance, d_space
 from quillspark.session import load
 from quillspark.streaming import segmentation
 
@@ -137,10 +137,10 @@ def newest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.newest_first(rows, "created", "session")
 
 
-@query(f"""SELECT doc_id, CAST(len(list_filter(list_transform(regexp_extract_all({d_space("left(text, 300)")}, '{T.STABLE_SENTENCE.replace("'", "''")}'), lambda x: trim(x)), lambda x: x <> '')) AS INT) AS first_live FROM documents""")
+@query(f"""SELECT doc_id, CAST(len(list_filter(list_transform(regexp_extract_all({d_space("text")}, '{T.STABLE_SENTENCE.replace("'", "''")}'), lambda x: trim(x)), lambda x: x <> '')) AS INT) AS first_live FROM documents""")
 def first_live_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first live unit's ordinal where the first 300 characters were there before the recording."""
-    return load(spark, sf_dir, "documents").select("doc_id", rollups.first_live_ordinal(F.substring("text", 1, 300)).alias("first_live"))
+    """The first live unit's ordinal of a recording that goes on after each text."""
+    return load(spark, sf_dir, "documents").select("doc_id", rollups.first_live_ordinal(F.col("text")).alias("first_live"))
 
 
 # Orders stand for sessions and for requests of a numbered title: every fifth asks, others have titles of all sorts.
@@ -279,15 +279,6 @@ def resampled_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mono.select("event_id", F.round(half[0], 6).alias("a"), F.round(half[1], 6).alias("b"), F.round(slower[1], 6).alias("c"), F.size(slower).alias("n"))
 
 
-ACCENTS = "áàâäãåéèêëíìîïóòôöõúùûüñçßœæ"
-PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ01"
-
-
-def d_distance(a: str, b: str) -> str:
-    """Code-point distance of lower-case words: DuckDB counts bytes, so letters beyond ASCII become other single bytes."""
-    return f"levenshtein(translate({a}, '{ACCENTS}', '{PLAIN}'), translate({b}, '{ACCENTS}', '{PLAIN}'))"
-
-
 @query(f"""SELECT session, ordinal, CAST({d_distance("a", "b")} AS INT) AS distance, CAST(CASE WHEN {d_distance("a", "b")} <= 3 THEN {d_distance("a", "b")} END AS INT) AS near FROM (
   SELECT session, ordinal, lower(regexp_extract(text, '[\\p{{L}}]+')) AS a, lower(regexp_extract(right_text, '[\\p{{L}}]+')) AS b FROM ({D_PAIRS}) WHERE next IS NOT NULL AND text IS NOT NULL AND right_text IS NOT NULL)""")
 def word_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,12 +300,12 @@ def array_and_number_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""SELECT session, ordinal, text, pending FROM (SELECT session, CAST(generate_subscripts(u, 1) - 1 AS INT) AS ordinal, unnest(u) AS text, false AS pending FROM (SELECT doc_id AS session, string_split({d_space("left(text, 120)")}, ' ') AS u FROM documents WHERE trim(coalesce(text, '')) <> '')
+@query(f"""SELECT session, ordinal, text, pending FROM (SELECT session, CAST(generate_subscripts(u, 1) - 1 AS INT) AS ordinal, unnest(u) AS text, false AS pending FROM (SELECT doc_id AS session, string_split({d_space("text")}, ' ') AS u FROM documents WHERE {d_space("text")} <> '')
   UNION ALL SELECT doc_id AS session, -1 AS ordinal, source AS text, true AS pending FROM documents)""")
 def stable_and_pending_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished and open units as one table."""
     d = load(spark, sf_dir, "documents")
-    stable = d.where(F.trim("text") != "").select(F.col("doc_id").alias("session"), F.posexplode(F.split(T.normalise_space(F.substring("text", 1, 120)), " ")).alias("ordinal", "text"), F.lit(False).alias("pending"))
+    stable = d.where(T.normalise_space(F.col("text")) != "").select(F.col("doc_id").alias("session"), F.posexplode(F.split(T.normalise_space(F.col("text")), " ")).alias("ordinal", "text"), F.lit(False).alias("pending"))
     return stable.unionByName(d.select(F.col("doc_id").alias("session"), F.lit(-1).alias("ordinal"), F.col("source").alias("text"), F.lit(True).alias("pending")))
 
 

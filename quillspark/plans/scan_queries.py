@@ -12,7 +12,7 @@ from quillspark.functions import text as T
 from quillspark.functions.arrow import arrow_function
 from quillspark.session import load
 from quillspark.sources import files
-from quillspark.streaming import segmentation
+from quillspark.streaming import folds, segmentation
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -178,12 +178,25 @@ def repair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session", "ordinal", "c.*")
 
 
-@query()
+_D_FRAMES = "SELECT CAST(user_id AS VARCHAR) AS key, CAST(event_id AS DOUBLE) AS moment, value / 4000 AS energy, row_number() OVER (PARTITION BY user_id ORDER BY event_id, value / 4000) AS k FROM events"
+
+
+@query(f"""WITH RECURSIVE f AS ({_D_FRAMES}), w AS (SELECT DISTINCT key, 0::BIGINT AS k, 0.0::DOUBLE AS start, 0.0::DOUBLE AS length, 0.0::DOUBLE AS quiet, false AS speech, NULL::DOUBLE AS from_ms, NULL::DOUBLE AS to_ms, NULL::BOOLEAN AS had, NULL::VARCHAR AS why FROM f
+  UNION ALL SELECT key, k, CASE WHEN cut IS NULL THEN start ELSE start + l END, CASE WHEN cut IS NULL THEN l ELSE 0 END, CASE WHEN cut IS NULL THEN q ELSE 0 END, CASE WHEN cut IS NULL THEN s ELSE false END,
+    CASE WHEN cut IS NOT NULL THEN start END, CASE WHEN cut IS NOT NULL THEN start + l END, CASE WHEN cut IS NOT NULL THEN s END, cut FROM (
+    SELECT *, CASE WHEN l >= {folds.MAX_MS} THEN 'max-duration' WHEN s AND l >= {folds.MIN_MS} AND q >= {folds.SILENCE_MS} THEN 'speech-boundary' END AS cut FROM (
+      SELECT w.key, f.k, w.start, w.length + 500 AS l, CASE WHEN f.energy >= {folds.SPEECH} THEN 0 WHEN w.speech THEN w.quiet + 500 ELSE w.quiet END AS q, w.speech OR f.energy >= {folds.SPEECH} AS s FROM w JOIN f ON f.key = w.key AND f.k = w.k + 1)))
+  SELECT key, from_ms AS start_ms, to_ms AS stop_ms, had AS has_speech, why AS reason FROM w WHERE why IS NOT NULL
+  UNION ALL SELECT key, start, start + length, speech, 'stop' FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY k DESC) AS r FROM w) WHERE r = 1 AND length > 0""")
 def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.segment_batch(segmentation.event_frames(load(spark, sf_dir, "events")))
 
 
-@query()
+@query(f"""WITH RECURSIVE f AS (SELECT * REPLACE (100 * moment AS moment) FROM ({_D_FRAMES})), w AS (SELECT DISTINCT key, 0::BIGINT AS k, 0.0::DOUBLE AS heard, false AS armed, NULL::DOUBLE AS deadline, false AS done FROM f
+  UNION ALL SELECT key, k, CASE WHEN over THEN heard WHEN loud THEN heard + 500 WHEN NOT armed THEN 0 ELSE heard END, armed OR (NOT over AND loud AND heard + 500 >= {folds.MEANINGFUL_MS}),
+    CASE WHEN over THEN deadline WHEN loud AND (armed OR heard + 500 >= {folds.MEANINGFUL_MS}) THEN NULL WHEN NOT loud AND armed AND deadline IS NULL THEN moment + {folds.AUTO_STOP_MS} ELSE deadline END, over FROM (
+    SELECT w.key, f.k, f.moment, w.heard, w.armed, w.deadline, coalesce(f.moment >= w.deadline, false) AS over, f.energy >= {folds.SPEECH} AS loud FROM w JOIN f ON f.key = w.key AND f.k = w.k + 1 WHERE NOT w.done))
+  SELECT key, deadline AS stop_ms FROM w QUALIFY row_number() OVER (PARTITION BY key ORDER BY k DESC) = 1""")
 def inactivity_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.stops(segmentation.event_frames(load(spark, sf_dir, "events")).withColumn("at", F.col("at") * 100))
 
@@ -200,7 +213,11 @@ def schedule_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.replay_schedule(jobs)
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT CAST(user_id AS VARCHAR) AS lane, event_id * 1000.0::DOUBLE AS moment, event_id * 1000.0::DOUBLE + 20 * value AS until, row_number() OVER (PARTITION BY user_id ORDER BY event_id, value) AS k FROM events),
+  w AS (SELECT DISTINCT lane, 0::BIGINT AS k, NULL::DOUBLE AS moment, 0 AS epoch, 0 AS n, NULL::DOUBLE AS born, -1e300::DOUBLE AS busy FROM f
+  UNION ALL SELECT lane, k, moment, CASE WHEN reset THEN epoch + 1 ELSE epoch END, CASE WHEN reset THEN 1 ELSE n + 1 END, CASE WHEN reset OR born IS NULL THEN moment ELSE born END, greatest(busy, until) FROM (
+    SELECT w.lane, f.k, f.moment, f.until, w.epoch, w.n, w.born, w.busy, w.born IS NOT NULL AND f.moment >= w.busy AND (w.n >= 25 OR f.moment - w.born >= 300000) AS reset FROM w JOIN f ON f.lane = w.lane AND f.k = w.k + 1))
+  SELECT lane, moment AS "at", epoch FROM w WHERE k > 0""")
 def runner_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     at = F.col("event_id") * 1000.0

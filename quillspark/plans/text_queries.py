@@ -192,9 +192,27 @@ def repeated_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session", "ordinal", T.has_repeated_ngram(F.col("text")).alias("repeated"))
 
 
-@query()
+ACCENTS = "áàâäãåéèêëíìîïóòôöõúùûüñçßœæ"
+PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ01"
+
+
+def d_distance(a: str, b: str) -> str:
+    """Code-point distance of lower-case words: DuckDB counts bytes, so letters beyond ASCII become other single bytes."""
+    return f"levenshtein(translate({a}, '{ACCENTS}', '{PLAIN}'), translate({b}, '{ACCENTS}', '{PLAIN}'))"
+
+
+def _d_meaningful(x: str) -> str:
+    return f"list_transform(list_filter({d_tokens(x)}, lambda t: NOT (t IN ({listed(FILLERS)}))), lambda t: translate(t, '{ACCENTS}', '{PLAIN}'))"
+
+
+_D_ALIKE = """(length(t) >= 4 AND length(o) >= 4 AND (regexp_replace(t, 's$', '') = regexp_replace(o, 's$', '') OR (abs(length(t) - length(o)) <= 5 AND (contains(t, o) OR contains(o, t)))))
+  OR (length(t) >= 5 AND length(o) >= 5 AND abs(length(t) - length(o)) <= 1 AND levenshtein(t, o) <= 1)"""
+
+
+@query(f"""SELECT session, ordinal, round(CASE WHEN len(want) = 0 THEN 1.0 ELSE len(list_filter(want, lambda t: list_contains(have, t) OR len(list_filter(have, lambda o: {_D_ALIKE})) > 0)) / len(want) END, 6) AS coverage
+  FROM (SELECT session, ordinal, {_d_meaningful("text")} AS want, list_distinct({_d_meaningful("right_text")}) AS have FROM ({D_PAIRS}) WHERE right_text IS NOT NULL)""")
 def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of a turn the next one covers (fuzzy tokens, so no SQL form)."""
+    """How much of a turn the next one covers, by tokens that are alike."""
     pairs = _turns(spark, sf_dir).select("session", "ordinal", "text", _next("text").alias("right")).where("right IS NOT NULL")
     return pairs.select("session", "ordinal", F.round(T.token_coverage(F.col("text"), F.col("right")), 6).alias("coverage"))
 
@@ -270,7 +288,7 @@ def lexical_retrieval_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT source, doc_id, left(text, CAST(least(length(text), greatest(0, 180000 - before)) AS BIGINT)) AS kept FROM r WHERE least(length(text), greatest(0, 180000 - before)) > 0""")
 def budgeted_selection_truncating(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of a source that fill its budget of 180,000 characters in order of id."""
-    return retrieval.truncating_budget(load(spark, sf_dir, "documents"), "source", [F.col("doc_id")], "text", 180_000).select("source", "doc_id", "kept")
+    return retrieval.truncating_budget(load(spark, sf_dir, "documents"), "source", "doc_id", "text", 180_000).select("source", "doc_id", "kept")
 
 
 @query(f"""WITH RECURSIVE src AS (SELECT session, ordinal, length(text) AS n, row_number() OVER (PARTITION BY session ORDER BY ordinal) AS k FROM (SELECT conv_id AS session, turn AS ordinal, text FROM conversations)),
