@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -42,6 +44,33 @@ def share_code(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
 
 
+class NotFoundError(LookupError):
+    """A row that was asked for by its id isn't there."""
+
+
+def find_one(rows: DataFrame, key: str, value: object) -> Row:
+    """The row of an id (the first of repeated ones); one that isn't there, or a blank id, is an error."""
+    if value is None or not str(value).strip():
+        raise ValueError(f"{key} is required")
+    found = rows.where(F.col(key) == F.lit(value)).limit(1).collect()
+    if not found:
+        raise NotFoundError(f"no {key} {value!r}")
+    return found[0]
+
+
+def read_state(spark: SparkSession, path: str, default: dict | None = None) -> dict:
+    """A small JSON state file anywhere that Spark reads; the default where it is missing or no object."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return dict(default or {})
+    text = spark.read.text(path, wholetext=True).first()
+    try:
+        value = json.loads(text[0]) if text else {}
+    except json.JSONDecodeError:
+        return dict(default or {})
+    return value if isinstance(value, dict) else dict(default or {})
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data directory; any path that Spark's readers can open."""
     share_code(spark)
@@ -51,13 +80,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    The session's own ``spark.checkpoint.dir`` wins. Only where it is unset, as in
-    tests on one machine, a temporary folder is made.
+    The session's own ``spark.checkpoint.dir`` wins, then what was set on its context.
+    Only a session on one machine may do without: a temporary folder is made for it. On
+    a cluster executors wouldn't see such a folder, so there it is an error.
     """
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if given is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
     return given or sc._jsc.sc().getCheckpointDir().get()
 

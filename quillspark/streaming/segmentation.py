@@ -31,22 +31,40 @@ def segment_batch(frames: DataFrame) -> DataFrame:
     return frames.groupBy("key").applyInPandas(fold, SEGMENT_DDL)
 
 
-def segment_stream(frames: DataFrame) -> DataFrame:
-    """The same over a stream: open segments are state, closed ones come out at once."""
+def segment_stream(frames: DataFrame, time_col: str | None = None, late: str = "10 seconds", idle_ms: int = 30_000) -> DataFrame:
+    """The same over a stream: open segments are state, closed ones come out at once.
+
+    With an event time, frames of a key are folded in its order as far as they come in
+    one batch, ``late`` bounds how late a frame may be, and a key from which nothing came
+    for ``idle_ms`` is over: its open segment comes out as a last one and its state goes.
+    Without one a key's open segment stays until more of it comes.
+    """
 
     def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold_state = Segmenter()
+        held = Segmenter()
         if state.exists:
-            fold_state.start, fold_state.length, fold_state.quiet, fold_state.speech = state.get
+            held.start, held.length, held.quiet, held.speech = state.get
         rows = []
-        for chunk in chunks:
-            ordered = _frames(chunk)
-            done = (fold_state.add(e, d) for e, d in zip(ordered["energy"], ordered["duration"], strict=True))
-            rows += [(key[0], *s) for s in done if s]
-        state.update((fold_state.start, fold_state.length, fold_state.quiet, fold_state.speech))
+        if state.hasTimedOut:
+            last = held.close()
+            rows += [(key[0], *last)] if last else []
+            state.remove()
+        else:
+            latest = 0
+            for chunk in chunks:
+                ordered = _frames(chunk)
+                done = (held.add(e, d) for e, d in zip(ordered["energy"], ordered["duration"], strict=True))
+                rows += [(key[0], *s) for s in done if s]
+                if time_col:
+                    latest = max(latest, int(ordered[time_col].max().timestamp() * 1000))
+            state.update((held.start, held.length, held.quiet, held.speech))
+            if time_col:
+                state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(rows, columns=["key", "start_ms", "stop_ms", "has_speech", "reason"])
 
-    return frames.groupBy("key").applyInPandasWithState(fold, SEGMENT_DDL, STATE_DDL, "append", GroupStateTimeout.NoTimeout)
+    timed = frames.withWatermark(time_col, late) if time_col else frames
+    timeout = GroupStateTimeout.EventTimeTimeout if time_col else GroupStateTimeout.NoTimeout
+    return timed.groupBy("key").applyInPandasWithState(fold, SEGMENT_DDL, STATE_DDL, "append", timeout)
 
 
 def ingest_stream(chunks: DataFrame, keys: list[str], time_col: str, late: str = "1 hour") -> DataFrame:
