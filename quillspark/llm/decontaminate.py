@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_rows, row_key, without
+from quillspark.llm.common import join_counted, map_rows, row_key, without
 from quillspark.session import durable
 
 #: Masks of equal weight. Together they hit every run of 8 to 20 tokens of which 80 % agree, wherever the others are (by enumeration).
@@ -192,18 +192,29 @@ def _near(source: DataFrame, probes: DataFrame, lengths: DataFrame, short: list[
 
 
 def _far(source: DataFrame, probes: DataFrame, lengths: DataFrame, short: list[int]) -> DataFrame:
-    """Hits by a shuffle join of all seeds, for test sets of any size."""
+    """Hits by a shuffle join of all seeds, for test sets of any size.
+
+    Seeds that a great part of the documents' seeds are equal to are joined apart, so that
+    one of them doesn't meet in a task. A document is named by its id and a hash of its
+    text; what is brought back to it are numbers.
+    """
 
     def spread(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, text in rows:
+        for doc_id, key, text in rows:
             for _, hashes in _document_seeds(token_hashes(text), short):
                 for place, h in enumerate(_signed(hashes)):
-                    yield h, doc_id, place
-
-    found = map_rows(source, spread, "seed long, doc_id long, place int").join(probes, "seed")
-    diagonals = found.select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("diagonal")).distinct().join(lengths, "item_id")
-    by_doc = diagonals.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("item_id", "diagonal", "n")).alias("hits"))
-    joined = source.join(by_doc, source["doc_id"].eqNullSafe(by_doc["__id"])).select("doc_id", "text", "hits")
+                    yield h, doc_id, key, place
+
+    keyed = source.select("doc_id", row_key().alias("key"), "text")
+    spreaded = map_rows(keyed, spread, "seed long, doc_id long, key long, place int")
+    wanted = durable(probes.select("seed").distinct())
+    asked = durable(spreaded.join(wanted, "seed", "left_semi"))
+    counts = asked.groupBy("seed").agg(F.count("*").alias("n"))
+    listed = durable(probes.groupBy("seed").agg(F.collect_list(F.struct("item_id", "at")).alias("items")).join(counts, "seed"))
+    hits = join_counted(asked, listed, "seed", F.size("items") * 16 + 32).select("doc_id", "key", "place", F.explode("items").alias("x"))
+    diagonals = hits.select("doc_id", "key", "x.item_id", (F.col("place") - F.col("x.at")).alias("diagonal")).distinct().join(lengths, "item_id")
+    by_doc = diagonals.groupBy(F.col("key").alias("__key")).agg(F.collect_set(F.struct("item_id", "diagonal", "n")).alias("hits"))
+    joined = keyed.join(by_doc, F.col("key") == F.col("__key")).select("doc_id", "text", "hits")
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text, hits in rows:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import join_counted, map_rows, own_names
+from quillspark.llm.common import BROADCAST_BYTES, join_counted, map_rows, own_names
 from quillspark.session import durable
 
 LEADING = 3
@@ -182,7 +182,9 @@ def _classes(held: DataFrame, rows: DataFrame) -> DataFrame:
     sizes = durable(rows.where(F.col("size").isNotNull()).groupBy("key", "doc_id").agg(F.max("size").alias("size"), F.count("*").alias("copies")))
     shared = join_counted(held.where("fresh = 1"), first, "template").where("doc_id <> origin").groupBy("key", "origin").agg(F.sum("words").alias("shared"))
     of_origin = sizes.groupBy(F.col("doc_id").alias("origin")).agg(F.max("size").alias("origin_size"))
-    both = shared.join(sizes, "key").join(of_origin, "origin")
+    shared = durable(shared.join(sizes, "key"))
+    counted = durable(of_origin.join(shared.groupBy("origin").agg(F.count("*").alias("n")), "origin"))
+    both = join_counted(shared, counted, "origin")
     return both.where(F.col("shared") >= F.greatest("size", "origin_size") * F.col("copies") * COPY - 1e-6).select("key", "origin")
 
 
@@ -218,6 +220,8 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     out, own, key, drop = own_names(docs.columns, "__dropped", "__own", "__key", "__drop")
     drops = durable(recurring_lines(docs, id_col, text_col)).select(F.col("key").alias(key), F.col("drop").alias(drop))
+    if (drops.agg(F.sum(F.size(drop) * 8 + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        drops = F.broadcast(drops)  # texts stay where they are read
     keyed = docs.withColumn(own, F.when(F.col(id_col).isNotNull(), document_key(id_col, text_col)))
     joined = keyed.join(drops, F.col(own) == F.col(key), "left")
     lines = F.split(F.col(text_col), "\n", -1)

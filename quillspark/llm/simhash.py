@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import join_counted, map_rows, own_names, small
+from quillspark.llm.common import join_counted, map_rows, own_names, row_key, small
 from quillspark.llm.components import connected_components
 from quillspark.session import durable
 
@@ -185,15 +185,17 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keep = small(durable(first_rows.select(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1]))), 32)
     named = docs.where(F.col(id_col).isNotNull())
     kept = named.join(keep, (docs[id_col].cast("long") == keep[names[0]]) & (text_key(text_col) == keep[names[1]]), "left_semi")
-    kept = _one_for_each_id(kept, id_col, text_col)
+    kept = _one_for_each_row(kept, id_col, text_col)
     return kept.union(docs.where(F.col(id_col).isNull()))
 
 
-def _one_for_each_id(kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``kept`` with one row for each id; only where an id is repeated are rows compared."""
-    repeated = durable(kept.groupBy(F.col(id_col).cast("long").alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again"))
+def _one_for_each_row(kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``kept`` with one row for each id and text; only where such a row is repeated are rows compared."""
+    key = row_key(id_col, text_col)
+    repeated = durable(kept.groupBy(key.alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again"))
     if repeated.isEmpty():
         return kept
-    again = small(repeated, 16)
-    same = kept[id_col].cast("long") == again["__again"]
-    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([id_col]))
+    (name,) = own_names(kept.columns, "again")
+    again = small(repeated.withColumnRenamed("__again", name), 16)
+    same = key == again[name]
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").withColumn(name, key).dropDuplicates([name]).drop(name))
