@@ -23,8 +23,8 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines whose template recurs across documents."""
-    changed = lines.drop_recurring(docs)
-    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).drop("__dropped")
+    changed = lines.drop_recurring(docs).select(*docs.columns)
+    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
