@@ -174,7 +174,8 @@ def _candidates(source: pd.Series, evidence: pd.Series) -> pd.Series:
 @query()
 def repair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each turn's wording would become with the next turn as evidence."""
-    rows = _pairs(spark, sf_dir).select("session", "ordinal", F.explode(_candidates(F.col("text"), F.col("candidate"))).alias("c"))
+    pairs = _pairs(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "session", "ordinal")
+    rows = pairs.select("session", "ordinal", F.explode(_candidates(F.col("text"), F.col("candidate"))).alias("c"))
     return rows.select("session", "ordinal", "c.*")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import alignment, repair
 from quillspark.functions import values as V
-from quillspark.operators import context, retrieval, rollups, segments
+from quillspark.operators import context, repairs, retrieval, rollups, segments
 from quillspark.session import NotFoundError, checkpoint_dir, find_one, read_state
 from quillspark.streaming import folds, segmentation
 
@@ -176,6 +176,16 @@ def test_informative_words_are_told_by_the_fixed_list():
     assert repair.informative("These 2024 models improve the GRADIENT through lectures") == ["models", "improve", "gradient", "lectures"]
 
 
+def test_repairs_come_from_each_texts_own_evidence(spark):
+    right = "We combine the prior with evidence through the Bayes theorem for posterior estimates."
+    sources = spark.createDataFrame([(1, "Then we use the Base theorem for posterior estimates with a prior."), (2, "Then we use the Base theorem for posterior estimates with a prior."), (3, None)], "key long, text string")
+    items = spark.createDataFrame([(0, right), (1, "Nothing of that kind stands here at all."), (2, right)], "item_id long, text string")
+    ranked = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (2, 1, 1), (2, 2, 4), (3, 0, 1)], "key long, item_id long, rank int")
+    got = repairs.repair_candidates(sources, ranked, items, "key").collect()
+    plain = repair.candidates("Then we use the Base theorem for posterior estimates with a prior.", {"M1:S1": right, "M2:S1": "Nothing of that kind stands here at all."})
+    assert [(r.key, r.start, r.replacement, r.evidence_id) for r in got] == [(1, p["start"], p["edit"].replacement, "M1:S1") for p in plain]
+
+
 # Streaming ----------------------------------------------------------------------------------------
 
 
