@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 from quillspark.functions import chunks, guard, repair, sentences
 from quillspark.functions import text as T
 from quillspark.functions.arrow import arrow_function
+from quillspark.functions.vocabulary import ABBREVIATIONS
+from quillspark.plans.text_queries import D_ANCHORS, listed
 from quillspark.session import load
 from quillspark.sources import files
 from quillspark.streaming import folds, segmentation
@@ -34,17 +36,45 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("ordinal"), "text", (2.0 * F.col("turn")).alias("start"), (2.0 * F.col("turn") + 1).alias("end"))
 
 
-@query()
+_MARK = "[.!?…。！？]+"
+_TRIMMED = "'^\\s+|\\s+$', '', 'g'"
+
+
+def d_sentences(source: str, key: str) -> str:
+    """SQL ``key, paragraph, place, sentence`` of a source's texts: each mark is judged by what stands around it."""
+    clean = f"regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), {_TRIMMED})"
+    starts = "following = '' OR regexp_matches(following, '^[\\p{Lu}\\p{N}㐀-䶿一-鿿豈-﫿]')"
+    return f"""WITH p0 AS (SELECT {key} AS key, string_split_regex({clean}, '\\n{{2,}}') AS ps FROM {source}),
+    p AS (SELECT key, paragraph, array_to_string(list_filter(list_transform(string_split(raw, chr(10)), lambda x: regexp_replace(x, {_TRIMMED})), lambda x: x <> ''), ' ') AS t
+      FROM (SELECT key, generate_subscripts(ps, 1) AS paragraph, unnest(ps) AS raw FROM p0)),
+    m AS (SELECT key, paragraph, t, k, run, list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(runs[1:k - 1], lambda x: length(x))), 0) AS start FROM (
+      SELECT key, paragraph, t, pieces, runs, generate_subscripts(runs, 1) AS k, unnest(runs) AS run FROM (SELECT *, regexp_extract_all(t, '{_MARK}') AS runs, string_split_regex(t, '{_MARK}') AS pieces FROM p))),
+    c AS (SELECT *, start + length(run) AS stop, right(run, 1) AS mark, substr(t, CAST(start + length(run) + 1 AS BIGINT), 1) AS after, regexp_extract(substr(t, CAST(start + length(run) + 1 AS BIGINT), 300), '^\\s*(\\S?)', 1) AS following,
+      substr(t, CAST(greatest(1, start - 199) AS BIGINT), CAST(least(start, 200) AS BIGINT)) AS near, substr(t, CAST(start + length(run) - 1 AS BIGINT), 1) AS before FROM m),
+    d AS (SELECT *, regexp_extract(near, '[A-Za-z0-9]+(?:\\.[A-Za-z0-9]+)*$') AS token, regexp_matches(after, '^[\\p{{L}}\\p{{N}}]') AS joined FROM c),
+    e AS (SELECT key, paragraph, t, CAST(stop + length(regexp_extract(substr(t, CAST(stop + 1 AS BIGINT), 300), '^["''”’»)\\]}}）］｝]*')) AS BIGINT) AS cut FROM d WHERE CASE WHEN mark IN ('!', '?', '。', '！', '？') THEN true
+      WHEN mark = '…' OR length(run) >= 2 THEN {starts} WHEN regexp_matches(before, '^\\p{{Nd}}$') AND regexp_matches(after, '^\\p{{Nd}}$') THEN false
+      WHEN joined AND regexp_matches(near, '(?i)(?:https?://|www\\.|@)\\S*$') THEN false WHEN lower(token) IN ({listed(ABBREVIATIONS)}) OR regexp_full_match(token, '[A-Za-z](?:\\.[A-Za-z])+') THEN false
+      WHEN regexp_full_match(token, '[A-Za-z]') AND regexp_matches(following, '^\\p{{L}}') AND ({starts}) THEN false ELSE NOT (joined AND length(token) <= 3) END),
+    s AS (SELECT key, paragraph, cut, regexp_replace(substr(t, coalesce(lag(cut) OVER w, 0) + 1, cut - coalesce(lag(cut) OVER w, 0)), {_TRIMMED}) AS sentence FROM e WINDOW w AS (PARTITION BY key, paragraph ORDER BY cut)
+      UNION ALL SELECT p.key, p.paragraph, 1000000000, regexp_replace(substr(any_value(p.t), coalesce(max(cut), 0) + 1), {_TRIMMED}) FROM p LEFT JOIN e ON e.key = p.key AND e.paragraph = p.paragraph GROUP BY p.key, p.paragraph)
+    SELECT key, paragraph, cut AS place, sentence FROM s WHERE sentence <> ''"""
+
+
+@query(f"SELECT key AS doc_id, CAST(row_number() OVER (PARTITION BY key ORDER BY paragraph, place) - 1 AS INT) AS idx, sentence FROM ({d_sentences('documents', 'doc_id')})")
 def conservative_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences.sentences(F.col("text"))).alias("idx", "sentence"))
 
 
-@query()
+@query(f"""SELECT doc_id, coalesce(f.text, '') AS text FROM documents LEFT JOIN (SELECT key, string_agg(t, chr(10) || chr(10) ORDER BY paragraph) AS text FROM (
+  SELECT key, paragraph, string_agg(sentence, ' ' ORDER BY place) AS t FROM ({d_sentences('documents', 'doc_id')}) GROUP BY 1, 2) GROUP BY key) f ON f.key = doc_id""")
 def sentence_paragraph_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", sentences.format_sentences(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"""SELECT session, ordinal, CAST(n - 1 AS INT) AS piece, sentence AS text, 2.0 * ordinal + least(1.0, before / size) AS start, 2.0 * ordinal + least(1.0, (before + length(sentence)) / size) AS "end" FROM (
+  SELECT conv_id AS session, turn AS ordinal, row_number() OVER w AS n, sentence, coalesce(sum(length(sentence) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, length(trim(text)) AS size
+  FROM ({d_sentences("(SELECT conv_id * 100000 + turn AS id, trim(text) AS text FROM conversations WHERE text IS NOT NULL)", "id")}) JOIN conversations ON key = conv_id * 100000 + turn WINDOW w AS (PARTITION BY conv_id, turn ORDER BY paragraph, place))""")
 def timed_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.timed_sentences(_turns(spark, sf_dir))
 
@@ -54,12 +84,27 @@ def _snippets(text: pd.Series) -> pd.Series:
     return text.map(chunks.snippets, na_action=None)
 
 
-@query()
+_D_BLOCKS = f"""SELECT doc_id, bn, regexp_replace(regexp_replace(raw, '[\\t ]+', ' ', 'g'), {_TRIMMED}) AS block FROM (SELECT doc_id, generate_subscripts(b, 1) AS bn, unnest(b) AS raw FROM (
+  SELECT doc_id, string_split_regex(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^(#{{1,6}}\\s)', chr(12) || '\\1', 'g'), '\\f|\\n\\s*\\n') AS b FROM documents))"""
+_D_LONG = f"(SELECT doc_id * 100000 + bn AS id, block AS text FROM ({_D_BLOCKS}) WHERE length(block) > 1800)"
+#: Sentences of long blocks, packed one by one; one that is too long is left out and ends a run.
+_D_SNIPPETS = f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY bn, g) - 1 AS INT) AS idx, snippet FROM (
+  SELECT doc_id, bn, 0 AS g, block AS snippet FROM ({_D_BLOCKS}) WHERE block <> '' AND length(block) <= 1800
+  UNION ALL SELECT key // 100000 AS doc_id, key % 100000 AS bn, g, snippet FROM (WITH RECURSIVE q AS (SELECT key, sentence, length(sentence) AS n, row_number() OVER (PARTITION BY key ORDER BY paragraph, place) AS k FROM ({d_sentences(_D_LONG, "id")})),
+    w AS (SELECT DISTINCT key, 0::BIGINT AS k, 0 AS g, 0::BIGINT AS used, '' AS sentence, false AS kept FROM q
+      UNION ALL SELECT w.key, q.k, CASE WHEN q.n <= 1800 AND w.used > 0 AND w.used + 1 + q.n <= 1800 THEN w.g ELSE w.g + 1 END, CASE WHEN q.n > 1800 THEN 0 WHEN w.used > 0 AND w.used + 1 + q.n <= 1800 THEN w.used + 1 + q.n ELSE q.n END, q.sentence, q.n <= 1800
+      FROM w JOIN q ON q.key = w.key AND q.k = w.k + 1)
+    SELECT key, g, string_agg(sentence, ' ' ORDER BY k) AS snippet FROM w WHERE kept GROUP BY key, g))"""
+
+
+@query(_D_SNIPPETS)
 def material_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(_snippets(F.col("text"))).alias("idx", "snippet"))
 
 
-@query()
+@query(f"""WITH s AS ({_D_SNIPPETS}), a AS (SELECT id, count(DISTINCT term) AS n_anchors FROM (WITH src AS (SELECT doc_id AS id, snippet AS text FROM s) {D_ANCHORS}) GROUP BY id)
+  SELECT doc_id, CAST(length(text) AS INT) AS characters, CAST(coalesce(n, 0) AS INT) AS n_chunks, CAST(coalesce(longest, 0) AS INT) AS longest, CAST(coalesce(n_anchors, 0) AS INT) AS n_anchors
+  FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, max(length(snippet)) AS longest FROM s GROUP BY 1) c USING (doc_id) LEFT JOIN a ON a.id = d.doc_id""")
 def material_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters, chunks, the longest chunk and different anchors of each document."""
     rows = load(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("characters"), _snippets(F.col("text")).alias("chunks"))
@@ -80,6 +125,30 @@ def lossless_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join("w", "").alias("text"), F.forall("w", lambda x: F.length(x) <= 2000).alias("bounded"))
 
 
+def d_split(source: str, limit: int) -> str:
+    """SQL ``key, part, piece`` of a source's ``key, text``: cut after the last sentence mark or at the last space that comes late enough, else at the limit."""
+    head = f"left(rest, {limit + 1})"
+    mark = f"CASE WHEN regexp_matches({head}, '\\. |。|！|？') THEN length(regexp_extract({head}, '(?s)^(.*)(?:\\. |。|！|？)', 1)) ELSE -1 END"
+    space = f"CASE WHEN contains({head}, ' ') THEN length(regexp_extract({head}, '(?s)^(.*) ', 1)) ELSE -1 END"
+    cut = f"CASE WHEN {mark} >= {int(limit * 0.55)} THEN {mark} + 1 WHEN {space} >= {int(limit * 0.55)} THEN {space} ELSE {limit} END"
+    return f"""WITH RECURSIVE cuts AS (SELECT key, 0 AS part, text AS rest, NULL::VARCHAR AS piece FROM {source}
+    UNION ALL SELECT key, part + 1, CASE WHEN at_end THEN '' ELSE regexp_replace(substr(rest, cut + 1), '^\\s+', '') END, CASE WHEN at_end THEN rest ELSE regexp_replace(left(rest, cut), {_TRIMMED}) END
+      FROM (SELECT *, length(rest) <= {limit} AS at_end, CAST({cut} AS BIGINT) AS cut FROM cuts WHERE rest <> ''))
+    SELECT key, part, piece FROM cuts WHERE part > 0"""
+
+
+#: Sentences packed to paragraphs of 1,200 characters, these cut to parts of 3,000 and packed to windows.
+_D_SOURCE = f"""WITH RECURSIVE q AS (SELECT key, sentence, length(sentence) AS n, row_number() OVER (PARTITION BY key ORDER BY paragraph, place) AS k FROM ({d_sentences('documents', 'doc_id')})),
+  w AS (SELECT DISTINCT key, 0::BIGINT AS k, -1 AS g, 0::BIGINT AS used, '' AS sentence FROM q
+  UNION ALL SELECT w.key, q.k, CASE WHEN w.g >= 0 AND w.used + 1 + q.n <= 1200 THEN w.g ELSE w.g + 1 END, CASE WHEN w.g >= 0 AND w.used + 1 + q.n <= 1200 THEN w.used + 1 + q.n ELSE q.n END, q.sentence FROM w JOIN q ON q.key = w.key AND q.k = w.k + 1)
+  SELECT key, g, string_agg(sentence, ' ' ORDER BY k) AS text FROM w WHERE k > 0 GROUP BY key, g"""
+_D_PIECES = f"""SELECT key // 1000000 AS doc_id, key % 1000000 AS par, part, count(*) OVER (PARTITION BY key) AS parts, piece FROM ({d_split(f"(SELECT key * 1000000 + g AS key, text FROM ({_D_SOURCE}))", 3000)})"""
+_D_WINDOWED = f"""WITH RECURSIVE q AS (SELECT *, length(piece) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY par, part) AS k FROM ({_D_PIECES})),
+  w AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, -1 AS g, 0::BIGINT AS used FROM q
+  UNION ALL SELECT w.doc_id, q.k, CASE WHEN w.g >= 0 AND w.used + 2 + q.n <= 3000 THEN w.g ELSE w.g + 1 END, CASE WHEN w.g >= 0 AND w.used + 2 + q.n <= 3000 THEN w.used + 2 + q.n ELSE q.n END FROM w JOIN q ON q.doc_id = w.doc_id AND q.k = w.k + 1),
+  j AS (SELECT w.doc_id, w.g, w.k, q.par, q.part, q.parts, CASE WHEN lag(q.par) OVER v IS NULL THEN '' WHEN lag(q.par) OVER v = q.par THEN ' ' ELSE chr(10) || chr(10) END || q.piece AS t FROM w JOIN q ON q.doc_id = w.doc_id AND q.k = w.k WINDOW v AS (PARTITION BY w.doc_id, w.g ORDER BY w.k))
+  SELECT doc_id, CAST(g AS INT) AS idx, string_agg(t, '' ORDER BY k) AS text, CAST(min(par) AS INT) AS first, CAST(max(par) AS INT) AS last, arg_min(part, k) > 1 AS continues_previous, arg_max(part, k) < arg_max(parts, k) AS continues_next FROM j GROUP BY doc_id, g"""
+
 _WINDOW = "array<struct<text:string,first:int,last:int,continues_previous:boolean,continues_next:boolean>>"
 
 
@@ -88,7 +157,7 @@ def _windows(text: pd.Series) -> pd.Series:
     return text.map(lambda t: chunks.windows(chunks.source_paragraphs(t), 3000), na_action=None)
 
 
-@query()
+@query(_D_WINDOWED)
 def cleanup_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(_windows(F.col("text"))).alias("idx", "w"))
     return rows.select("doc_id", "idx", "w.*")
@@ -109,7 +178,17 @@ def _semantic(text: pd.Series) -> pd.Series:
     return text.map(lambda t: chunks.semantic_chunks(t, 1500), na_action=None)
 
 
-@query()
+_D_UNITS = f"""WITH b AS (SELECT doc_id, generate_subscripts(b, 1) AS bn, unnest(b) AS block FROM (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), {_TRIMMED}), '\\n{{2,}}') AS b FROM documents)),
+  l AS (SELECT doc_id, bn, row_number() OVER (PARTITION BY doc_id, bn ORDER BY i) AS ln, regexp_replace(x, {_TRIMMED}) AS line FROM (SELECT doc_id, bn, generate_subscripts(ls, 1) AS i, unnest(ls) AS x FROM (SELECT doc_id, bn, string_split(block, chr(10)) AS ls FROM b WHERE length(block) > 1500)) WHERE regexp_replace(x, {_TRIMMED}) <> '')
+  SELECT doc_id, bn, 0 AS ln, 0 AS part, block AS unit, chr(10) || chr(10) AS joint FROM b WHERE length(block) <= 1500
+  UNION ALL SELECT key // 1000000000 AS doc_id, (key // 10000) % 100000 AS bn, key % 10000 AS ln, part, piece, CASE WHEN part > 1 THEN ' ' WHEN key % 10000 = 1 THEN chr(10) || chr(10) ELSE chr(10) END FROM ({d_split("(SELECT doc_id * 1000000000 + bn * 10000 + ln AS key, line AS text FROM l)", 1500)})"""
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bn, ln, part) AS k FROM ({_D_UNITS})),
+  w AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, -1 AS g, 0::BIGINT AS used, '' AS t FROM q
+  UNION ALL SELECT doc_id, k, CASE WHEN fits OR blank THEN g ELSE g + 1 END, CASE WHEN fits THEN used + length(joint || unit) WHEN blank THEN used ELSE length(unit) END, CASE WHEN fits THEN joint || unit WHEN blank THEN '' ELSE unit END FROM (
+    SELECT q.doc_id, q.k, w.g, w.used, q.unit, q.joint, w.g >= 0 AND w.used + length(q.joint || q.unit) <= 1500 AS fits, regexp_replace(q.unit, {_TRIMMED}) = '' AS blank FROM w JOIN q ON q.doc_id = w.doc_id AND q.k = w.k + 1))
+  SELECT doc_id, CAST(g AS INT) AS idx, string_agg(t, '' ORDER BY k) AS chunk FROM w WHERE k > 0 AND g >= 0 GROUP BY doc_id, g""")
 def translation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(_semantic(F.col("text"))).alias("idx", "chunk"))
 
@@ -119,7 +198,11 @@ def _groups(units: pd.Series) -> pd.Series:
     return units.map(lambda us: chunks.display_groups([(str(u["ordinal"]), u["text"]) for u in us]))
 
 
-@query()
+@query("""WITH RECURSIVE u AS (SELECT conv_id AS session, CAST(turn AS VARCHAR) AS id, len(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE text IS NOT NULL),
+  w AS (SELECT DISTINCT session, 0::BIGINT AS k, 0 AS grp, 0 AS members, 0::BIGINT AS n, '' AS id FROM u
+  UNION ALL SELECT session, k, CASE WHEN cut THEN grp + 1 ELSE grp END, CASE WHEN cut THEN 1 ELSE members + 1 END, CASE WHEN cut THEN size ELSE n + size END, id FROM (
+    SELECT w.session, u.k, w.grp, w.members, w.n, u.id, u.size, w.members > 0 AND (w.members = 3 OR w.n >= 40 OR (w.n >= 15 AND w.n + u.size > 40)) AS cut FROM w JOIN u ON u.session = w.session AND u.k = w.k + 1))
+  SELECT session, CAST(grp AS INT) AS idx, list(id ORDER BY k) AS members FROM w WHERE k > 0 GROUP BY session, grp""")
 def display_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _turns(spark, sf_dir).where("text IS NOT NULL")
     units = turns.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("units"))
