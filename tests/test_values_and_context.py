@@ -202,3 +202,26 @@ def test_stream_flushes_its_tail_when_a_key_goes_quiet(spark, tmp_path):
     got = {tuple(r) for r in spark.table("tails").where("key <> 'z'").collect()}
     want = {tuple(r) for r in segmentation.segment_batch(spark.createDataFrame(rows, ddl).drop("ts")).collect()}
     assert got == want and any(r[-1] == "stop" for r in got)
+
+
+# The same functions in the JVM and in Arrow batches -------------------------------------------------
+
+
+def test_both_forms_of_text_functions_agree(spark):
+    import random
+
+    from quillspark.functions import guard
+    from quillspark.functions import text as T
+
+    rng = random.Random(17)
+    parts = ["Bayes", "bayes'", "theorems", "theorem", "uh", "Um,", "漢字", "3.5", "x_y", "λ = 4", "2 × 3", "7 + 8 = 15", " ", "﻿", " ", "\n\n", "\x1c", "é", "naïve", "twelve", "models", "modelling", "a", "."]
+    rows = [(k, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 30))), " ".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))) for k in range(300)] + [(900, None, "x"), (901, "", None)]
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = df.select("k", T.normalise_space(a), T.tokens(a), T.meaningful_tokens(a), T.formulas(a), F.round(T.script_ratio(a), 9), F.round(T.token_coverage(a, b), 9)).collect()
+    texts = {k: (x, y) for k, x, y in rows}
+    for r in got:
+        x, y = texts[r[0]]
+        want = guard.meaningful(x)
+        covered = guard.coverage(want, guard.Vocabulary(guard.meaningful(y)), False)
+        assert tuple(r)[1:] == (guard.squeeze(x), guard.tokens(x), want, guard.formulas(x), round(guard.script_ratio(x or ""), 9), round(covered, 9)), x
