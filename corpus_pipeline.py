@@ -54,11 +54,22 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``; what each gives is written to the shared folder and read again."""
-    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+def _finished(spark: SparkSession, path: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The stages applied to ``documents``; what each gives is written to the shared folder and read again.
+
+    A run that is given the ``folder`` of one that broke off goes on after its last
+    finished stage; without one it has a folder of its own.
+    """
+    target = folder or f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{target}/{name}"
+        if not _finished(spark, path):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
