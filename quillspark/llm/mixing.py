@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import own_names
 from quillspark.session import durable
 
 #: Words in a block, about.
@@ -34,6 +33,8 @@ MAX_REPEATS = 3
 BROADCAST_BYTES = 8 << 20
 #: Output shards: two to this power.
 TREE_DEPTH = 5
+#: Sources that may count as hot where there are too many for all to be sent.
+HOT_SOURCES = 500
 SEED = 20_231
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,7 +50,7 @@ def _uniform(*keys: Column) -> Column:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """``source, source_size, weight, target`` from ``source, size`` rows.
+    """``source, source_size, weight, target, n_rows`` from ``source, size`` rows.
 
     Sources in code-point order, null last, weigh 1, 2, 3, repeating, and share the sum of
     all sizes. A target stops at ``MAX_REPEATS`` times its source's size; what is over is
@@ -58,7 +59,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     the prefix leaves.
     """
     ordered = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     weighed = totals.withColumn("weight", ((F.row_number().over(ordered) - 1) % 3 + 1).cast("double")).withColumn("cap", (F.col("source_size") * MAX_REPEATS).cast("double"))
     everything = Window.partitionBy(F.lit(0))
     by_cap = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
@@ -68,17 +69,29 @@ def targets(sizes: DataFrame) -> DataFrame:
     # The first source that is free sets the share of all after it; sources before it stop.
     settled = shared.withColumn("level", F.min(F.when(F.col("free"), F.struct((F.col("cap") / F.col("weight")).alias("at"), F.col("share").alias("share")))).over(everything))
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level.share") * F.col("weight")))
-    return settled.select("source", "source_size", "weight", target.alias("target"))
+    return settled.select("source", "source_size", "weight", target.alias("target"), "n_rows")
 
 
-def _small(per_source: DataFrame) -> DataFrame:
-    """A table with a row for each source (kept already), marked for broadcast if it is measured to be small.
+def _row_bytes(per_source: DataFrame) -> Column:
+    lists = [F.coalesce(F.size(F.col(f)) * 8, F.lit(0)) for f in ("__plan.loose", "__plan.starts") if "__plan" in per_source.columns]
+    return sum(lists, F.lit(256))
+
 
-    Joining documents on their source by a shuffle would deal a hot source to one task.
+def _with_source(left: DataFrame, per_source: DataFrame, source: str, key: str) -> DataFrame:
+    """``left`` joined on ``source`` with a durable table that has a row and a count ``n_rows`` for each source (``key``).
+
+    A table that is measured to be small is sent to every task. Of a larger one the
+    sources with most rows are, of which there can't be many; a shuffle deals only the
+    others, so that a hot source stays spread however many sources there are.
     """
-    lists = [F.coalesce(F.size(F.col(f)) * 8, F.lit(0)) for f in ("__plan.loose", "__plan.starts") if "__plan" in per_source.columns]
-    size = per_source.agg(F.sum(sum(lists, F.lit(256)))).first()[0] or 0
-    return F.broadcast(per_source) if size <= BROADCAST_BYTES else per_source
+    same = F.col(source).eqNullSafe(F.col(key))
+    rows = per_source.drop("n_rows")
+    if (per_source.agg(F.sum(_row_bytes(per_source))).first()[0] or 0) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(rows), same)
+    total = per_source.agg(F.sum("n_rows")).first()[0] or 0
+    is_hot = (F.col("n_rows") >= max(1, -(-total // HOT_SOURCES))) & (_row_bytes(per_source) <= 8 * BROADCAST_BYTES // HOT_SOURCES)
+    hot, rest = F.broadcast(per_source.where(is_hot).drop("n_rows")), per_source.where(~is_hot).drop("n_rows")
+    return left.join(hot, same).unionByName(left.join(hot.select(key), same, "left_anti").join(rest, same))
 
 
 def _quotas(rows: DataFrame, goals: DataFrame) -> DataFrame:
@@ -92,7 +105,7 @@ def _quotas(rows: DataFrame, goals: DataFrame) -> DataFrame:
     plan = plan.withColumn("rest", F.when(F.col("passes") < MAX_REPEATS, F.col("target") - F.col("passes") * F.col("source_size")).otherwise(0.0))
     plan = plan.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("source_size") / BLOCK_WORDS)).cast("long"))
     plan = durable(plan)
-    dealt = _deal(rows, _small(plan.select(F.col("source").alias("__s"), "blocks")))
+    dealt = _deal(rows, plan.select(F.col("source").alias("__s"), "blocks", "n_rows"))
     sums = durable(dealt.groupBy("source", "block").agg(F.sum("size").alias("words")))
     supers = sums.groupBy("source", F.floor(F.col("block") / SUPER_BLOCKS).alias("super")).agg(F.sum("words").alias("in_super"))
     upto = supers.withColumn("base", F.sum("in_super").over(Window.partitionBy("source").orderBy("super")) - F.col("in_super"))
@@ -114,12 +127,12 @@ def _quotas(rows: DataFrame, goals: DataFrame) -> DataFrame:
 
 def _deal(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """``rows`` with the block of each document among its source's ``blocks``."""
-    return rows.join(blocks, F.col("source").eqNullSafe(F.col("__s"))).withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.col("blocks"))).drop("__s", "blocks")
+    return _with_source(rows, blocks, "source", "__s").withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.col("blocks"))).drop("__s", "blocks")
 
 
 def _loose(dealt: DataFrame, plan: DataFrame) -> DataFrame:
     """``plan`` with the ids of the documents of loose blocks that the last pass takes."""
-    pool = dealt.join(_small(plan.select(F.col("source").alias("__s"), "whole", "gap")), F.col("source").eqNullSafe(F.col("__s"))).where(
+    pool = _with_source(dealt, plan.select(F.col("source").alias("__s"), "whole", "gap", "n_rows"), "source", "__s").where(
         (F.col("gap") > 0) & (F.col("block") >= F.col("whole")) & (F.col("block") < F.col("whole") + 4) & F.col("doc_id").isNotNull()
     )
     docs = pool.groupBy("source", "block", "doc_id").agg(F.sum("size").alias("size"), F.max("gap").alias("gap")).where("size > 0")
@@ -235,12 +248,12 @@ def split_quotas(plan: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
 
 
 def _plan(rows: DataFrame, depth: int) -> DataFrame:
-    """One row ``__source, __plan`` for each source: all that places its documents."""
+    """One row ``__source, n_rows, __plan`` for each source: all that places its documents."""
     plan = _quotas(rows, durable(targets(rows)))
     starts = split_quotas(plan, depth).withColumnRenamed("source", "__t")
     joined = plan.join(starts, F.col("source").eqNullSafe(F.col("__t")))
     fields = ("source_size", "target", "passes", "blocks", "whole", "loose", "starts")
-    return durable(joined.select(F.col("source").alias("__source"), F.struct(*fields).alias("__plan")))
+    return durable(joined.select(F.col("source").alias("__source"), "n_rows", F.struct(*fields).alias("__plan")))
 
 
 def _places(doc_id: Column, plan: Column) -> Column:
@@ -272,7 +285,7 @@ def mix(docs: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
     rows. Only doc_id, source and text are read.
     """
     rows = _measured(docs)
-    joined = rows.join(_small(_plan(rows, depth)), F.col("source").eqNullSafe(F.col("__source")))
+    joined = _with_source(rows, _plan(rows, depth), "source", "__source")
     places = _places(F.col("doc_id"), F.col("__plan"))
     return joined.select("doc_id", "source", "size", F.col("__plan.source_size").alias("source_size"), F.col("__plan.target").alias("target"), places.alias("places"))
 
@@ -286,9 +299,9 @@ def mixed_documents(docs: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
     named ``mix_shard`` or ``mix_pass``, which is replaced.
     """
     own = [c for c in docs.columns if c.lower() not in ("mix_shard", "mix_pass")]
-    source, plan_name, place, at = own_names(own, "__source", "__plan", "__place", "__at")
-    plan = _small(_plan(_measured(docs), depth)).withColumnsRenamed({"__source": source, "__plan": plan_name})
-    joined = docs.select(*own).join(plan, F.col("source").cast("string").eqNullSafe(F.col(source)))
-    placed = joined.select(*own, F.explode(_places(F.col("doc_id").cast("long"), F.col(plan_name))).alias(place))
-    rows = placed.select(*own, F.col(f"{place}.shard").alias("mix_shard"), F.col(f"{place}.pass").alias("mix_pass"), F.col(f"{place}.at").alias(at))
-    return rows.repartition(F.col("mix_shard"), F.pmod(at, F.lit(16))).sortWithinPartitions("mix_shard", at).drop(at)
+    plan = _plan(_measured(docs), depth)
+    # A row travels as one column, so that its names meet no others.
+    rows = docs.select(F.struct(*own).alias("row"), F.col("source").cast("string").alias("source"))
+    placed = _with_source(rows, plan, "source", "__source").select("row", F.explode(_places(F.col("row.doc_id").cast("long"), F.col("__plan"))).alias("place"))
+    dealt = placed.repartition(F.col("place.shard"), F.pmod("place.at", F.lit(16))).sortWithinPartitions("place.shard", "place.at")
+    return dealt.select("row.*", F.col("place.shard").alias("mix_shard"), F.col("place.pass").alias("mix_pass"))

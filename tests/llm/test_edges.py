@@ -176,6 +176,15 @@ def test_long_pages_and_archives(spark, tmp_path):
     assert sitestyle.extract(table.limit(0)).collect() == []
 
 
+def test_style_nodes_by_broadcast_or_by_join(spark):
+    rng = random.Random(15)
+    rows = [(i, f"http://h{i % 3}.org/{i}", f"<body><div class='zz'><p>Every page of host {i % 3} says this.</p></div><div class='c'><p>{words(rng, 30)}</p></div></body>") for i in range(24)]
+    table = spark.createDataFrame(rows + [(50, None, rows[0][2])], "page_id long, url string, html string")
+    by_broadcast = sorted(map(tuple, sitestyle.extract(table).collect()), key=str)
+    by_join = sorted(map(tuple, sitestyle.extract(table, broadcast_nodes=0).collect()), key=str)
+    assert by_broadcast == by_join and all("Every page" not in t for i, _, t in by_join if i < 24) and len(by_join) == 25
+
+
 @pytest.mark.parametrize("budget", [0, 32 << 20])
 def test_revisits_without_a_broadcast(spark, tmp_path, monkeypatch, budget):
     """The plan for many shared digests gives what the plan for few does."""
@@ -201,3 +210,24 @@ def test_frequent_fingerprints_and_lines_join_apart(spark, monkeypatch):
     assert all(classes[i] == 0 for i in range(30)) and classes[201] == 200
     out = {r.doc_id: r["__dropped"] for r in lines.drop_recurring(docs).collect()}
     assert sum(out.values()) == 19 and out[100] == 0
+
+
+def test_a_broken_run_goes_on_after_its_last_finished_stage(spark, odd, tables, tmp_path, monkeypatch):
+    frame(spark, odd, clashes=False).write.parquet(f"{tables}/documents.parquet")
+    folder, calls = f"file://{tmp_path}/run", []
+
+    def counted(name, stage):
+        def call(*args):
+            calls.append(name)
+            if name == "benchmark_decontamination" and calls.count(name) == 1:
+                raise RuntimeError("an executor too many was lost")
+            return stage(*args)
+
+        return name, call
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(*x) for x in corpus_pipeline.STAGES])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, tables, folder)
+    again = corpus_pipeline.run(spark, tables, folder)
+    assert calls == ["quality_classifier", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "benchmark_decontamination", "source_mixing"]
+    assert {r.doc_id for r in again.collect()} <= {i for i, *_ in odd}

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillspark.llm import ann, common, decontaminate, lines, mixing, quality, secrets, simhash, warc
+from tests_plain import plain_targets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -231,20 +232,6 @@ def test_warc_reader_refuses_damage():
 # Mixing -------------------------------------------------------------------------------------------
 
 
-def plain_targets(sizes):
-    sources = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
-    weights = {s: k % 3 + 1 for k, s in enumerate(sources)}
-    total, out, free = sum(sizes.values()), {}, set(sources)
-    while free:
-        share = (total - sum(out.values())) / sum(weights[s] for s in free)
-        over = {s for s in free if share * weights[s] >= 3 * sizes[s]}
-        if not over:
-            return out | {s: share * weights[s] for s in free}
-        out |= {s: 3 * sizes[s] for s in over}
-        free -= over
-    return out
-
-
 def test_mixing_meets_targets(spark):
     rng = random.Random(4)
     rows = [(i, " ".join("w" for _ in range(rng.choice([1, 5, 40, 300]))), rng.choice(["a", "a", "a", "b", "c", "é", None])) for i in range(400)]
@@ -270,6 +257,19 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_mixing_with_more_sources_than_are_sent(spark, monkeypatch):
+    """Hot sources are sent, the others shuffled: the same mix as where all are sent."""
+    rng = random.Random(14)
+    rows = [(i, "w " * rng.randint(1, 60), rng.choice(["hot", "hot", "hot", None, *(f"s{k}" for k in range(30))])) for i in range(300)]
+    docs = frame(spark, rows)
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    mixed = sorted((r.doc_id, r.mix_shard, r.mix_pass) for r in mixing.mixed_documents(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 4000)
+    monkeypatch.setattr(mixing, "HOT_SOURCES", 4)
+    assert sorted(map(str, mixing.mix(docs).collect())) == want
+    assert sorted((r.doc_id, r.mix_shard, r.mix_pass) for r in mixing.mixed_documents(docs).collect()) == mixed
+
+
 def test_splitting_tree_keeps_quotas_and_sizes(spark):
     plan = spark.createDataFrame([("a", 1000), ("b", 37), (None, 3), ("z", 0)], "source string, quota long")
     starts = {r.source: r.starts for r in mixing.split_quotas(plan, 4).collect()}

@@ -37,3 +37,46 @@ def test_repeated_branch_goes_copies_stay(spark):
 
 def test_empty_table(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_importance_like_brute_force(spark):
+    """Entropies of child styles and of texts below, over the different pages of a host, by plain counting."""
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    from quillspark.llm import sitestyle
+    from quillspark.llm.siteparse import parse
+
+    rng = random.Random(2)
+    pages = []
+    for i in range(40):
+        extra = "<ul><li>one</li><li>two</li></ul>" if i % 4 == 0 else ""
+        pages.append((i, f"http://h{i % 2}.org/{i}", f"<body><div class='box'><p>notice {i % 3}</p></div><main><div id='n{i}'><p>text {rng.random()}</p>{extra}</div></main></body>"))
+    pages.append((99, "http://h0.org/copy", pages[0][2]))  # a copy counts once
+    seen = defaultdict(set)
+    for _, url, text in pages:
+        host, root = sitestyle.host_of(url), parse(text)
+
+        def words(node):
+            return " ".join(x if isinstance(x, str) else words(x) for x in node.items)
+
+        stack = [(root, "")]
+        while stack:
+            node, above = stack.pop()
+            path = f"{above}/{node.style}"
+            if node.parent is not None and node.name != "main" and words(node).strip():
+                seen[host, path].add((words(root), tuple(x.style for x in node.items if not isinstance(x, str)), words(node)))
+            stack += [(x, path) for x in node.items if not isinstance(x, str) and not sitestyle.is_furniture(x)]
+
+    def entropy(values):
+        n = len(values)
+        return -sum(c / n * math.log(c / n) for c in Counter(values).values()) / math.log(n) if n > 1 else 1.0
+
+    want = {}
+    for (host, path), rows in seen.items():
+        share = sitestyle.PRESENTATION
+        want[sitestyle._hash(host), sitestyle._hash(path)] = (len(rows), round(share * entropy([s for _, s, _ in rows]) + (1 - share) * entropy([c for *_, c in rows]), 9))
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {(r.host, r.node): (r.n_pages, round(r.importance, 9)) for r in sitestyle.importance(table).collect()}
+    assert got == want and len(want) > 8

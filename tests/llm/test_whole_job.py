@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from quillspark.llm import decontaminate, lines, quality, sitestyle
+from tests_plain import plain_drops
 
 
 def frame(spark, rows):
@@ -138,3 +139,38 @@ def test_junk_at_the_end_shows(words):
     text = " ".join(["plain"] * (words - 60) + ["JUNK!"] * 60)
     values = dict(zip(quality.FEATURES, quality.statistics(text), strict=True))
     assert min(values["worst_symbol"], values["worst_upper"], values["worst_equal"]) >= 0.9
+
+
+def test_lines_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PARTS", 1)  # one pass over a leaf, as the plain version makes it
+    rng = random.Random(31)
+
+    def phrase(n):
+        return " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+
+    common = [phrase(n) for n in (6, 9, 12, 25, 30, 55, 60)]
+    rows = []
+    for i in range(90):
+        body = []
+        for _ in range(rng.randint(1, 6)):
+            kind = rng.random()
+            if kind < 0.35:
+                body.append(phrase(rng.randint(3, 20)))
+            elif kind < 0.7:  # a common line, with up to a fifth of its words changed
+                line = rng.choice(common).split()
+                for _ in range(rng.randint(0, max(0, len(line) // 5))):
+                    line[rng.randrange(3, len(line))] = phrase(1)
+                body.append(" ".join(line))
+            elif kind < 0.85:
+                body.append(f"visit {rng.randint(0, 99)} of user {rng.randint(0, 9)} ended well at {rng.randint(0, 23)}")
+            else:
+                body.append("")
+        rows.append((i, "\n".join(body)))
+    rows += [(200 + k, rows[5][1] + "\nown end " + phrase(2)) for k in range(4)]
+    out = lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    drops = plain_drops(rows)
+    texts = dict(rows)
+    assert sum(map(len, drops.values())) > 30
+    for r in out:
+        want = [x for n, x in enumerate(texts[r.doc_id].split("\n")) if n not in drops.get(r.doc_id, ())]
+        assert r.text == "\n".join(want), r.doc_id
