@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import simhash
-from quillspark.llm.common import map_rows, small
+from quillspark.llm.common import join_counted, map_rows, small
 from quillspark.llm.components import connected_components
 from quillspark.session import durable
 
@@ -31,7 +31,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 16, 4
 #: Bins of a sketch, and how far from ``SIMILARITY`` an estimate leaves doubt (three deviations).
-BINS, DOUBT = 256, 0.08
+BINS, DOUBT = 512, 0.055
 #: Estimates from which a text is not compared with later ones.
 SAME = 0.93
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -64,7 +64,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     """For each bin eight bits (never zero) of the least hash that falls into it; zero where none does."""
     mixed = hashes * _FACTORS[0]
     order = np.sort(mixed)
-    bins = (order >> np.uint64(56)).astype(np.int64)
+    bins = (order >> np.uint64(65 - BINS.bit_length())).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
     out = np.zeros(BINS, np.uint8)
     out[bins[first]] = (order[first] >> np.uint64(8)).astype(np.uint64) % np.uint64(255) + np.uint64(1)
@@ -154,11 +154,12 @@ def links(texts: DataFrame, words: int = SHINGLE_WORDS, least: float = SIMILARIT
     rows = map_rows(texts.select("node", "text"), sign, "node long, sketch binary, bands array<long>")
     signed = durable(rows.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     posted = signed.select("node", F.explode("bands").alias("bucket"))
-    shared = posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = posted.join(shared, "bucket", "left_semi").groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    shared = durable(posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "n", F.col("n").alias("size")))
+    members = join_counted(posted, shared, "bucket").groupBy("node").agg(F.collect_list("bucket").alias("buckets"), F.sum("size").alias("degree"))
     once = signed.join(members, "node")
-    ordered = once.select("node", "sketch", F.explode("buckets").alias("bucket")).withColumn("at", F.xxhash64("node"))
-    ordered = ordered.repartition("bucket").sortWithinPartitions("bucket", "at").select("bucket", "node", "sketch")
+    # Texts that share most buckets with others come first: they are in the middle of their groups.
+    ordered = once.select("node", "sketch", "degree", F.explode("buckets").alias("bucket"))
+    ordered = ordered.repartition("bucket").sortWithinPartitions("bucket", F.desc("degree"), "node").select("bucket", "node", "sketch")
     pairs = durable(map_rows(ordered, _paired(least), "a long, b long").distinct())
     named = small(durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), 16)
     held = durable(map_rows(texts.join(named, "node", "left_semi").select("node", "text"), sets, "node long, x binary").dropDuplicates(["node"]))
