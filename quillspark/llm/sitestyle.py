@@ -31,6 +31,8 @@ from quillspark.session import durable
 MIN_PAGES = 4
 #: Importance under which a style node is furniture.
 LOW = 0.3
+#: Judged style nodes (some 60 bytes each in a Python worker) up to which every task holds them all.
+BROADCAST_NODES = 400_000
 #: The share of presentation in an importance.
 PRESENTATION = 0.2
 
@@ -130,17 +132,28 @@ def importance(pages: DataFrame) -> DataFrame:
     return both.select("host", "node", F.col("n_content").alias("n_pages"), (PRESENTATION * F.col("shape") + (1 - PRESENTATION) * F.col("content")).alias("importance"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """One row ``page_id, url, text`` for each row of ``pages``.
 
     A null html has the empty text; a null url is a host of its own (the empty one);
     repeated rows get equal texts; an empty table gives no rows; other columns are not
-    read.
+    read. Up to ``broadcast_nodes`` judged style nodes are sent to every task; the nodes of
+    more hosts are joined to the pages by URL, so that a host of any size stays spread.
     """
     own = pages.select(F.col(id_col).alias("page_id"), "url", "html")
     measured = importance(own).where(F.col("n_pages") >= MIN_PAGES)
     is_low = F.col("importance") < LOW
     furniture = durable(measured.groupBy("host").agg(F.collect_list(F.when(is_low, F.col("node"))).alias("low"), F.collect_list(F.when(~is_low, F.col("node"))).alias("high")))
+    nodes = furniture.agg(F.sum(F.size("low") + F.size("high") + 4)).first()[0] or 0
+    ddl = "page_id long, url string, text string"
+    if nodes <= broadcast_nodes:
+        held = pages.sparkSession.sparkContext.broadcast({r["host"]: (frozenset(r["low"]), frozenset(r["high"])) for r in furniture.collect()})
+
+        def known(rows: Iterator[tuple]) -> Iterator[tuple]:
+            for page_id, url, text in rows:
+                yield page_id, url, main_text(text or "", *held.value.get(_hash(host_of(url)), (frozenset(), frozenset())))
+
+        return map_rows(own, known, ddl)
     hosts = map_rows(own.select("url").distinct(), lambda rows: ((url, _hash(host_of(url))) for (url,) in rows), "url string, host long")
     marked = hosts.join(furniture, "host").select(F.col("url").alias("__url"), "low", "high")
     with_low = own.join(marked, own["url"].eqNullSafe(marked["__url"]), "left").select("page_id", "url", "html", "low", "high")
@@ -149,7 +162,7 @@ def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
         for page_id, url, text, low, high in rows:
             yield page_id, url, main_text(text or "", frozenset(low or ()), frozenset(high or ()))
 
-    return map_rows(with_low, run, "page_id long, url string, text string")
+    return map_rows(with_low, run, ddl)
 
 
 def main_text(text: str, low: frozenset[int] = frozenset(), high: frozenset[int] = frozenset()) -> str:
