@@ -47,8 +47,9 @@ def meaningful_tokens(x: Column) -> Column:
 def stem(term: Column) -> Column:
     """Drops a plain plural s of longer words, and then ing of still longer ones."""
     low = F.lower(term)
-    single = F.when((F.length(low) > 4) & low.rlike("s$") & ~low.rlike("(ss|us|is|es)$"), F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
-    return F.when((F.length(single) > 5) & single.rlike("ing$"), F.substring(single, F.lit(1), F.length(single) - 3)).otherwise(single)
+    plural = low.endswith("s") & ~(low.endswith("ss") | low.endswith("us") | low.endswith("is") | low.endswith("es"))
+    single = F.when((F.length(low) > 4) & plural, F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
+    return F.when((F.length(single) > 5) & single.endswith("ing"), F.substring(single, F.lit(1), F.length(single) - 3)).otherwise(single)
 
 
 def anchor_terms(x: Column, generic: tuple[str, ...] = GENERIC_WORDS) -> Column:

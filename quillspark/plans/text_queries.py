@@ -59,9 +59,10 @@ D_ANCHORS = f"""SELECT DISTINCT id, term FROM (
   len(list_filter({d_tokens("text")}, lambda t: NOT (t IN ({listed(FILLERS)})))) AS n_meaningful, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS token_estimate FROM documents""")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return load(spark, sf_dir, "documents").select(
-        "doc_id", F.size(T.tokens(text)).alias("n_tokens"), F.size(T.words(text)).alias("n_words"), F.size(T.meaningful_tokens(text)).alias("n_meaningful"), T.token_estimate(text).alias("token_estimate")
-    )
+    # Tokens are found once, as a column of their own, and counted twice.
+    found = load(spark, sf_dir, "documents").select("doc_id", T.tokens(text).alias("tokens"), F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(T.WORD)).alias("n_words"), T.token_estimate(text).alias("token_estimate"))
+    meaningful = F.size(F.filter("tokens", lambda t: ~t.isin(*FILLERS)))
+    return found.select("doc_id", F.size("tokens").alias("n_tokens"), "n_words", meaningful.alias("n_meaningful"), "token_estimate")
 
 
 @query(f"""SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS fp FROM documents
