@@ -28,7 +28,7 @@ from quillspark.session import durable
 
 #: Vectors on which codebooks are fitted, at most.
 SAMPLE_ROWS = 8192
-CODEBOOKS, CODEWORDS, BEAM, ROUNDS = 16, 256, 4, 8
+CODEBOOKS, CODEWORDS, BEAM, ROUNDS = 32, 256, 4, 8
 #: Codes in a block and queries in a part, at most; codes that are reranked for each query.
 BLOCK_ROWS, QUERY_ROWS, RERANK = 1 << 17, 1 << 13, 256
 #: Queries that are scored at a time, and codes at a time.
