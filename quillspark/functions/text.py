@@ -45,18 +45,23 @@ def meaningful_tokens(x: Column) -> Column:
 
 
 def stem(term: Column) -> Column:
-    """Drops a plain plural s of longer words, and then ing of still longer ones."""
-    low = F.lower(term)
-    plural = low.endswith("s") & ~(low.endswith("ss") | low.endswith("us") | low.endswith("is") | low.endswith("es"))
-    single = F.when((F.length(low) > 4) & plural, F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
-    return F.when((F.length(single) > 5) & single.endswith("ing"), F.substring(single, F.lit(1), F.length(single) - 3)).otherwise(single)
+    """Drops a plain plural s of words of over four letters, and then ing of those that still have over five.
+
+    One chain of replacements, so that a token is read once however often its stem is asked about.
+    """
+    single = F.regexp_replace(F.lower(term), "^(.{3,}[^suie])s$", "$1")
+    return F.regexp_replace(single, "^(.{3,})ing$", "$1")
+
+
+def is_anchor_term(term: Column, form: Column, generic: tuple[str, ...] = GENERIC_WORDS) -> Column:
+    """Whether a stemmed term can identify a topic: letters only, three or more, not generic in either form."""
+    return term.rlike(r"^\p{L}{3,}$") & ~term.isin(*generic) & ~form.isin(*generic)
 
 
 def anchor_terms(x: Column, generic: tuple[str, ...] = GENERIC_WORDS) -> Column:
-    """Different stemmed terms that can identify a topic: letters only, three or more, not generic in either form."""
+    """Different stemmed terms of a text that can identify a topic."""
     pairs = F.transform(tokens(x), lambda t: F.struct(t.alias("form"), stem(t).alias("term")))
-    kept = F.filter(pairs, lambda p: (F.length(p["term"]) >= 3) & p["term"].rlike(r"^\p{L}+$") & ~p["term"].isin(*generic) & ~p["form"].isin(*generic))
-    return F.array_distinct(F.transform(kept, lambda p: p["term"]))
+    return F.array_distinct(F.transform(F.filter(pairs, lambda p: is_anchor_term(p["term"], p["form"], generic)), lambda p: p["term"]))
 
 
 def fingerprint(x: Column) -> Column:
