@@ -42,3 +42,16 @@ SUFFIX = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM docum
   k AS (SELECT doc_id, coalesce(lag(stop) OVER w, 0) AS a, start AS z FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY start) UNION ALL SELECT d.doc_id, coalesce(max(stop), 0), any_value(octet_length(b)) FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id),
   h AS (SELECT doc_id, sha256(unhex(string_agg(hex(b[a + 1 : z]), '' ORDER BY a))) AS kept_sha256 FROM k JOIN d USING (doc_id) GROUP BY doc_id), n AS (SELECT doc_id, sum(stop - start) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
   SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256 FROM d JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+#: Terms by language, their exact shares in each source and in the language, gaps of all pairs of sources and of terms.
+DIVERGENCE = """WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+  w AS (SELECT doc, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d), kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+  g AS (SELECT DISTINCT lang, source FROM d), v AS (SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+  c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL), cell AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)),
+  s AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p FROM cell JOIN v USING (lang)),
+  l AS (SELECT lang, term, 1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v) AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM cell GROUP BY lang, term) JOIN v USING (lang)),
+  pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN s x ON x.lang = a.lang AND x.source = a.source LEFT JOIN s y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+  term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM s JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)) WHERE part = 'pair' OR rank <= 200"""

@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, decontaminate, lines, mixing, oracles, quality, secrets, simhash, sitestyle, suffix, warc
+from quillspark.llm import ann, decontaminate, divergence, lines, mixing, oracles, quality, secrets, simhash, sitestyle, suffix, warc
 from quillspark.session import checkpoint_dir, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {"op3_suffix": oracles.SUFFIX, "op6_secrets": oracles.SECRETS, "op8_warc": oracles.WARC}
+ORACLE_SQL: dict[str, str] = {"op3_suffix": oracles.SUFFIX, "op6_secrets": oracles.SECRETS, "op8_warc": oracles.WARC, "op13_divergence": oracles.DIVERGENCE}
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,3 +103,10 @@ def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_suffix"] = op3_suffix
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_divergence"] = op13_divergence
