@@ -55,3 +55,23 @@ DIVERGENCE = """WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, ''
     LEFT JOIN s x ON x.lang = a.lang AND x.source = a.source LEFT JOIN s y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
   term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM s JOIN l USING (lang, term) WHERE n > 0 AND p > q)
   SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)) WHERE part = 'pair' OR rank <= 200"""
+
+
+def _lloyd(rounds: int) -> str:
+    """CTEs ``a0, b1, a1, ...``: assignments ``vec_id, part, d * 64 + entry`` to a codebook, and the codebook of their floored means."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""a{k} AS (SELECT vec_id, part, min(d * 64 + entry) AS de FROM (SELECT x.vec_id, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v))::BIGINT AS d FROM x JOIN b{k} b ON x.part = b.part AND x.pos = b.pos GROUP BY ALL) GROUP BY ALL)""")
+        if k < rounds:
+            out.append(f"""b{k + 1} AS (SELECT b.part, b.entry, b.pos, coalesce((s - ((s % n) + n) % n) // n, b.v) AS v FROM b{k} b LEFT JOIN (
+      SELECT x.part, a.de % 64 AS entry, x.pos, sum(x.v)::BIGINT AS s, count(*) AS n FROM x JOIN a{k} a USING (vec_id, part) GROUP BY ALL) USING (part, entry, pos))""")
+    return ",\n  ".join(out)
+
+
+#: Lloyd rounds by all distances; a part has four components, as vectors of the supplied tables have 64.
+YINYANG = f"""WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+  x AS (SELECT vec_id, i // (n // 16) AS part, i % (n // 16) AS pos, v FROM (SELECT vec_id, len(embedding) AS n, generate_subscripts(embedding, 1) - 1 AS i, unnest(list_transform(embedding, lambda c: CAST(floor(256 * c::DOUBLE) AS BIGINT))) AS v FROM e)),
+  b0 AS (SELECT part, entry, pos, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM e ORDER BY vec_id LIMIT 64) USING (vec_id)),
+  {_lloyd(2)},
+  c AS (SELECT vec_id, string_agg(printf('%02x', de % 64), '' ORDER BY part) AS code, CAST(sum(de // 64) AS BIGINT) AS error FROM a2 GROUP BY vec_id)
+  SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b2) AS codebooks_sha256 FROM c JOIN e USING (vec_id)"""
