@@ -75,3 +75,11 @@ YINYANG = f"""WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE e
   {_lloyd(2)},
   c AS (SELECT vec_id, string_agg(printf('%02x', de % 64), '' ORDER BY part) AS code, CAST(sum(de // 64) AS BIGINT) AS error FROM a2 GROUP BY vec_id)
   SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b2) AS codebooks_sha256 FROM c JOIN e USING (vec_id)"""
+
+#: Sets of shingles, pairs by a count of what they share, and components by a walk from every document.
+PARITY = """WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS x FROM d),
+  u AS (SELECT x, min(doc_id) AS node, len(x) AS n FROM s WHERE len(x) > 0 GROUP BY x), t AS (SELECT node, n, unnest(x) AS g FROM u),
+  e AS (SELECT a.node AS a, b.node AS b FROM t a JOIN t b ON a.g = b.g AND a.node <> b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  r AS (SELECT node, node AS seen FROM u UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen), c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+  SELECT s.doc_id, CAST(len(s.x) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id FROM s LEFT JOIN u ON u.x = s.x LEFT JOIN c ON c.node = u.node"""

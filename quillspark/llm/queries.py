@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, decontaminate, divergence, lines, mixing, oracles, quality, secrets, simhash, sitestyle, suffix, warc, yinyang
+from quillspark.llm import ann, decontaminate, divergence, lines, mixing, oracles, parity, quality, secrets, simhash, sitestyle, suffix, warc, yinyang
 from quillspark.session import checkpoint_dir, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {"op3_suffix": oracles.SUFFIX, "op6_secrets": oracles.SECRETS, "op8_warc": oracles.WARC, "op11_yinyang": oracles.YINYANG, "op13_divergence": oracles.DIVERGENCE}
+ORACLE_SQL: dict[str, str] = {"op3_suffix": oracles.SUFFIX, "op6_secrets": oracles.SECRETS, "op8_warc": oracles.WARC, "op11_yinyang": oracles.YINYANG, "op12_parity": oracles.PARITY, "op13_divergence": oracles.DIVERGENCE}
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,3 +117,10 @@ def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_yinyang"] = op11_yinyang
+
+
+def op12_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.similarity_classes(load(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_parity"] = op12_parity
