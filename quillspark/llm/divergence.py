@@ -1,9 +1,10 @@
 """How the sources of each language differ in their terms, exactly.
 
-Each kept term of a language becomes a wide vector, one place for each source of the
-language. Higher-order functions turn a vector into the contributions of all pairs of
-sources that have the term; map-side aggregation sums them. Terms that neither source of
-a pair has contribute one known number each, so they are multiplied and not listed.
+Each kept term of a language becomes a wide vector, indexed by the sources of the language
+that use it. Higher-order functions turn a vector into the contributions of all pairs of
+sources that have the term; map-side aggregation sums them. What a term contributes to a
+pair that lacks it on one side depends on one count, and on both sides on none: such
+terms are counted by source and use, and multiplied.
 
 Texts are counted where they are read: a task holds one table of counts, hands it on
 when it is full, and only counts by language, source and term are shuffled.
@@ -14,16 +15,17 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BROADCAST_BYTES, map_rows
-from quillspark.session import durable
+from quillspark.llm.common import BROADCAST_BYTES, bound_batches
+from quillspark.session import durable, share_code
 
 #: Documents of a language that a term needs, ranks of a group's terms, and the scale of shares.
 MIN_DOCS, TOP_TERMS, SCALE = 3, 200, 1_000_000_000
 #: Counts that a task holds before it hands them on.
-HELD_COUNTS = 400_000
+HELD_COUNTS = 600_000
 #: Every byte outside of terms becomes a space, A-Z become a-z; bytes of other code points stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -33,33 +35,40 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def _counted(rows: Iterator[tuple]) -> Iterator[tuple]:
+_COUNTS = "lang string, source string, term string, uses long, docs long"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-    def handed() -> Iterator[tuple]:
-        for (lang, source), (uses, docs) in held.items():
-            for term, n in uses.items():
-                yield lang, source, term.decode("utf-8", "surrogatepass"), n, docs[term]
+    def handed() -> Iterator[pa.RecordBatch]:
+        for group, (uses, docs) in held.items():
+            names = [pa.array([x], pa.string()).take(pa.array([0] * len(uses), pa.int32())) for x in group]
+            counts = [pa.array(list(uses.values()), pa.int64()), pa.array([docs[t] for t in uses], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(list(uses), pa.binary()).cast(pa.string()), *counts], ["lang", "source", "term", "uses", "docs"])
         held.clear()
 
     size = 0
-    for lang, source, text in rows:
-        uses, docs = held.setdefault((lang, source), (Counter(), Counter()))
-        before = len(uses)
-        found = Counter(terms_of(text))
-        uses.update(found)
-        docs.update(found.keys())
-        size += len(uses) - before
-        if size >= HELD_COUNTS:
-            yield from handed()
-            size = 0
+    for batch in batches:
+        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            uses, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            before = len(uses)
+            found = terms_of(text)
+            uses.update(found)
+            docs.update(set(found))
+            size += len(uses) - before
+            if size >= HELD_COUNTS:
+                yield from handed()
+                size = 0
     yield from handed()
 
 
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``lang, source, term, uses, docs``: how often a group uses a term, and in how many documents."""
     named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang_col, source_col, text_col)))
-    parts = map_rows(named, _counted, "lang string, source string, term string, uses long, docs long")
+    bound_batches(docs.sparkSession)
+    share_code(docs.sparkSession)
+    parts = named.mapInArrow(_counted, _COUNTS)
     return parts.groupBy("lang", "source", "term").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs"))
 
 
@@ -81,7 +90,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     terms; a document counts once for each of its rows. A language without a kept term
     has pairs of value 0; a language with one source has none. Texts are counted whole;
     ties go by the bytes of the item. Other columns are not read; an empty table gives no
-    rows. A term's vector has one place for each source of its language.
+    rows. A term's vector has one place for each source that uses it.
     """
     groups = durable(docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).distinct())
     placed = durable(groups.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1))
@@ -101,18 +110,21 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
 
 
 def _pairs(wide: DataFrame, langs: DataFrame, send) -> DataFrame:
-    vectors = wide.join(send(langs), "lang").withColumn("uses_at", F.map_from_entries("cells"))
-    vectors = vectors.withColumn("own", F.expr("transform(sources, s -> coalesce(try_element_at(uses_at, s.at), 0L))"))
-    vectors = vectors.withColumn("p", F.expr(f"transform(own, (n, k) -> {_share('n', 'sources[k].total')})"))
-    each = vectors.select("lang", "base", "own", "p", F.posexplode("p").alias("i", "at_i"))
-    # A pair that lacks the term on both sides is no contribution: it is in the multiple of the base.
-    change = f"{_gap('at_i', 'at_j')} - {_gap('base[i]', 'base[j]')}"
-    given = each.select("lang", "i", F.explode(F.expr(f"filter(transform(p, (at_j, j) -> IF(j = i OR (own[i] = 0 AND own[j] = 0), NULL, struct(j AS j, {change} AS v))), x -> x IS NOT NULL)")).alias("x"))
-    sums = given.groupBy("lang", "i", F.col("x.j").alias("j")).agg(F.sum("x.v").alias("change"))
+    """Sums over all kept terms, in four parts: as if no source had any, what the terms of one side change, and what those of both do besides."""
+    # A place of a term's vector: its source, its share there, and the share of a term that isn't there.
+    vector = F.expr(f"transform(cells, c -> struct(c.at AS at, {_share('c.uses', 'sources[c.at].total')} AS p, base[c.at] AS b))")
+    each = wide.join(send(langs), "lang").select("lang", vector.alias("vector")).select("lang", F.explode("vector").alias("x"), "vector")
+    both = each.select("lang", "x", F.explode(F.expr("filter(vector, y -> y.at <> x.at)")).alias("y")).selectExpr("lang", "x.at AS i", "x.p AS p", "x.b AS b", "y.at AS j", "y.p AS q", "y.b AS c")
+    shared = both.select("lang", "i", "j", F.expr(f"{_gap('p', 'q')} - {_gap('p', 'c')} - {_gap('b', 'q')} + {_gap('b', 'c')}").alias("change"))
+    alike = wide.select("lang", F.inline("cells")).groupBy("lang", "at", "uses").agg(F.count("*").alias("n")).join(send(langs), "lang")
+    alike = alike.select("lang", "at", "n", F.expr(_share("uses", "sources[at].total")).alias("p"), F.expr("base[at]").alias("b"), F.posexplode("base").alias("other", "c")).where("other <> at")
+    first = alike.select("lang", F.col("at").alias("i"), F.col("other").alias("j"), F.expr(f"n * ({_gap('p', 'c')} - {_gap('b', 'c')})").alias("change"))
+    second = alike.select("lang", F.col("other").alias("i"), F.col("at").alias("j"), F.expr(f"n * ({_gap('c', 'p')} - {_gap('c', 'b')})").alias("change"))
+    sums = shared.unionByName(first).unionByName(second).groupBy("lang", "i", "j").agg(F.sum("change").alias("change"))
     places = langs.select("lang", "n_terms", "base", "sources", F.posexplode("sources").alias("i", "one"))
     pairs = places.select("lang", "n_terms", "base", "i", F.col("one.source").alias("source"), F.posexplode("sources").alias("j", "other")).where("i <> j")
-    pairs = pairs.select("lang", "source", "i", "j", F.col("other.source").alias("item"), F.expr(f"n_terms * ({_gap('base[i]', 'base[j]')})").alias("multiple"))
-    values = pairs.join(sums, ["lang", "i", "j"], "left").select("lang", "source", "item", (F.col("multiple") + F.coalesce("change", F.lit(0))).alias("value"))
+    pairs = pairs.select("lang", "source", "i", "j", F.col("other.source").alias("item"), F.expr(f"n_terms * ({_gap('base[i]', 'base[j]')})").alias("none"))
+    values = pairs.join(sums, ["lang", "i", "j"], "left").select("lang", "source", "item", (F.col("none") + F.coalesce("change", F.lit(0))).alias("value"))
     return _ranked(values, "pair")
 
 

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from quillspark.llm import divergence
 
 DDL = "doc_id long, text string, lang string, source string"
@@ -55,8 +57,9 @@ def test_full_tables_of_counts_are_handed_on(spark, monkeypatch):
     monkeypatch.setattr(divergence, "HELD_COUNTS", 3)
     monkeypatch.setattr(divergence, "BROADCAST_BYTES", 0)
     assert result(spark, rows) == plain_audit(rows)
-    handed = list(divergence._counted(iter([("en", "a", "one two three four"), ("en", "a", "one")])))
-    assert [r[2:] for r in handed if r[2] == "one"] == [("one", 1, 1), ("one", 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (["en", "en"], ["a", "a"], ["one two one three four", "one"])], ["lang", "source", "text"])
+    handed = [r for b in divergence._counted(iter([batch])) for r in b.to_pylist()]
+    assert [(r["uses"], r["docs"]) for r in handed if r["term"] == "one"] == [(2, 1), (1, 1)]
 
 
 def test_clashing_columns_and_empty_table(spark):
