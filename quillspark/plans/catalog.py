@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import context_queries, record_queries, rollup_queries, scan_queries, source_queries, text_queries, unit_queries
+from quillspark.plans import context_queries, record_queries, rollup_queries, scan_queries, source_queries, stream_queries, text_queries, unit_queries
 
-MODULES = (text_queries, record_queries, scan_queries, unit_queries, rollup_queries, context_queries, source_queries)
+MODULES = (text_queries, record_queries, scan_queries, unit_queries, rollup_queries, context_queries, source_queries, stream_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:

@@ -71,26 +71,20 @@ def read_state(spark: SparkSession, path: str, default: dict | None = None) -> d
     return value if isinstance(value, dict) else dict(default or {})
 
 
-#: Bytes of a table between which one machine deals it to its cores.
-SPREAD_BYTES = (256 << 10, 64 << 20)
+#: Tables whose rows are long texts: much work for their bytes.
+TEXT_TABLES = ("documents", "pages")
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data directory; any path that Spark's readers can open.
 
-    Spark reads a row group in one task. On one machine a small table in fewer files than
-    cores is dealt to all of them; on a cluster tables are read as they are stored.
+    Tables are read as they are stored. Only a table of long texts whose files make fewer
+    splits than the session has cores, here or on a cluster, is dealt to all of them.
     """
     share_code(spark)
-    path = f"{sf_dir}/{table}.parquet"
-    rows = spark.read.parquet(path)
-    sc = spark.sparkContext
-    if not sc.master.startswith("local[") or sc.defaultParallelism < 2:
-        return rows
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stored = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where)
-    few = stored.getFileCount() < sc.defaultParallelism and SPREAD_BYTES[0] <= stored.getLength() <= SPREAD_BYTES[1]
-    return rows.repartition(sc.defaultParallelism) if few else rows
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if table in TEXT_TABLES and rows.rdd.getNumPartitions() < cores else rows
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -42,7 +42,7 @@ def in_order_batch(rows: DataFrame, keys: list[str], step: Step, out: str) -> Da
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         held: dict = {}
-        return pd.DataFrame([x for r in _ordered(_listed(frame)) for x in step(held, r)], columns=names)
+        return pd.DataFrame([x for r in _ordered(_listed(frame)) for x in step(held, r)], columns=names, dtype=object)
 
     return rows.groupBy(*keys).applyInPandas(fold, out)
 
@@ -80,7 +80,7 @@ def in_order(rows: DataFrame, keys: list[str], time_col: str, step: Step, out: s
             state.update((json.dumps(held),))
             due = min((r["at"] for r in held["wait"]), default=held["last"] + idle_ms)
             state.setTimeoutTimestamp(max(due, now + 1))
-        yield pd.DataFrame(sent, columns=names)
+        yield pd.DataFrame(sent, columns=names, dtype=object)
 
     timed = rows.withWatermark(time_col, late)
     return timed.groupBy(*keys).applyInPandasWithState(fold, out, "held string", "append", GroupStateTimeout.EventTimeTimeout)
@@ -237,7 +237,7 @@ def assembled(pieces: DataFrame) -> DataFrame:
         if own.over:
             own = Assembly({"over": True, "next": own.next})
         state.update((json.dumps(own.held()),))
-        yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame(rows, columns=names, dtype=object)
 
     names = StructType.fromDDL(UNITS).names
     named = pieces.select(F.col("session").cast("string").alias("session"), "seq", "text", F.coalesce("last", F.lit(False)).alias("last"))
