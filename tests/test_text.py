@@ -175,3 +175,8 @@ def test_display_groups():
     units = [("a", "one " * 10), ("b", "two " * 10), ("c", "three " * 30), ("d", "x"), ("e", "y"), ("f", "z"), ("g", "w")]
     assert chunks.display_groups(units) == [["a", "b"], ["c", "d", "e"], ["f", "g"]]
     assert chunks.display_groups([("a", "x"), ("b", "y")], {"a": 1, "b": 2}) == [["a"], ["b"]]
+
+
+def test_malformed_output_is_told_by_lower_case_keys():
+    for start, refused in (('{"content": "x', True), ('{"Content": "x', False)):
+        assert ("malformed-output" in guard.check(SOURCE, start + SOURCE)["reasons"]) is refused
