@@ -1,3 +1,7 @@
+import random
+import time
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +184,31 @@ def test_display_groups():
 def test_malformed_output_is_told_by_lower_case_keys():
     for start, refused in (('{"content": "x', True), ('{"Content": "x', False)):
         assert ("malformed-output" in guard.check(SOURCE, start + SOURCE)["reasons"]) is refused
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_edit_distance_equals_the_whole_table():
+    rng = random.Random(9)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd") for _ in range(rng.choice([0, 1, 5, 40, 63, 64, 65, 130]))] for _ in range(2))
+        assert guard.edit_distance(a, b) == plain_distance(a, b), (a, b)
+    assert guard.edit_distance("日本語x", "本語xy") == 2
+
+
+def test_edit_distance_of_long_texts_takes_little_memory():
+    rng = random.Random(10)
+    a = [f"w{rng.randint(0, 3000)}" for _ in range(20_000)]
+    b = [w for w in a if rng.random() > 0.05]
+    tracemalloc.start()
+    began = time.time()
+    assert guard.edit_distance(a, b) == len(a) - len(b)
+    assert time.time() - began < 20 and tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
