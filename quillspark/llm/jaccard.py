@@ -4,8 +4,8 @@ A 64-bit SimHash within a few bits finds all-but-identical texts; copies with ed
 over lie further apart. Here MinHash bands name buckets: at a similarity of 0.8 a pair
 shares one of 16 bands of four with probability 0.9998. Equal texts are one node.
 
-In a bucket texts are compared by sketches of 256 bins, which tell a similarity to about
-0.025. Pairs that are surely similar join at once; a text that may be similar to members
+In a bucket texts are compared by sketches of 512 bins, which tell a similarity to about
+0.02. Pairs that are surely similar join at once; a text that may be similar to members
 of a group it isn't joined to is paired with the nearest of them. So a bucket yields
 about a pair for each member, however many pairs it has, and a text that all but repeats
 another isn't compared with later ones. Every pair is then verified by its exact
