@@ -129,41 +129,44 @@ def _close(here: Node, name: str) -> Node:
 @dataclass
 class Block:
     text: str
-    #: Elements from the root down to the block's own.
-    nodes: list[Node]
+    #: The element that the block's text begins in, and whether that or one above it is of the given names.
+    node: Node
+    inside: bool
 
 
-def blocks(root: Node, skip) -> list[Block]:
+def blocks(root: Node, skip, names: frozenset[str] | tuple[str, ...] = ()) -> list[Block]:
     """Text blocks in page order, without the branches for which ``skip(node)`` holds."""
     out: list[Block] = []
     held: list[str] = []
-    own: list[Node] = []
+    own, inside, said = root, False, False
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
         if text:
-            out.append(Block(text, own))
+            out.append(Block(text, own, inside))
         held.clear()
 
-    stack: list[tuple[Node, int, list[Node]]] = [(root, 0, [root])]
+    stack: list[tuple[Node, int, bool]] = [(root, 0, root.name in names)]
     while stack:
-        node, at, path = stack.pop()
+        node, at, within = stack.pop()
         if at == len(node.items):
             if node.name in BLOCK:
                 flush()
+                said = False
             continue
-        stack.append((node, at + 1, path))
+        stack.append((node, at + 1, within))
         item = node.items[at]
         if isinstance(item, str):
-            if not held or not "".join(held).strip():
-                own = path
+            if not said:  # only white space so far
+                own, inside, said = node, within, bool(item.strip())
             held.append(item)
         elif item.name == "br":
             held.append(" ")
         elif not skip(item):
             if item.name in BLOCK:
                 flush()
+                said = False
             if item.name not in VOID:
-                stack.append((item, 0, [*path, item]))
+                stack.append((item, 0, within or item.name in names))
     flush()
     return out

@@ -78,12 +78,17 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _visit(root: Node) -> Iterator[tuple[Node, str]]:
-    """Elements with their style paths, without what the prior removes."""
-    stack = [(root, "")]
+def path_name(above: int, style: str) -> int:
+    """A style path's name from that of the path above it, so that deep pages need no long paths."""
+    return _hash(f"{above:x}/{style}")
+
+
+def _visit(root: Node) -> Iterator[tuple[Node, int]]:
+    """Elements with the names of their style paths, without what the prior removes."""
+    stack = [(root, 0)]
     while stack:
         node, above = stack.pop()
-        path = f"{above}/{node.style}"
+        path = path_name(above, node.style)
         if node.parent is not None:
             yield node, path
         stack += [(x, path) for x in node.items if not isinstance(x, str) and not is_furniture(x)]
@@ -113,7 +118,7 @@ def style_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
         for node, path in _visit(root):
             if digests[id(node)] and node.name not in _MAIN:
                 shape = " ".join(x.style for x in node.items if not isinstance(x, str))
-                yield host, digests[id(root)], _hash(path), _hash(shape), digests[id(node)]
+                yield host, digests[id(root)], path, _hash(shape), digests[id(node)]
 
 
 def importance(pages: DataFrame) -> DataFrame:
@@ -174,26 +179,28 @@ def main_text(text: str, low: frozenset[int] = frozenset(), high: frozenset[int]
     root = parse(text)
     gone: set[int] = set()
     if low:
-        gone = {id(node) for node, path in _visit(root) if node.name not in _MAIN and _hash(path) in low and not _holds_main(node)}
-    found = blocks(root, lambda node: is_furniture(node) or id(node) in gone)
-    inside = [any(x.name in _MAIN for x in b.nodes) for b in found]
+        holding = _above_main(root)
+        gone = {id(node) for node, path in _visit(root) if node.name not in _MAIN and path in low and id(node) not in holding}
+    found = blocks(root, lambda node: is_furniture(node) or id(node) in gone, _MAIN)
+    inside = [b.inside for b in found]
     if any(inside) and not all(inside):
-        weighty = {id(node) for node, path in _visit(root) if _hash(path) in high} if high else set()
-        outside = [not main and id(b.nodes[-1]) in weighty for b, main in zip(found, inside, strict=True)]
+        weighty = {id(node) for node, path in _visit(root) if path in high} if high else set()
+        outside = [not main and id(b.node) in weighty for b, main in zip(found, inside, strict=True)]
         if sum(len(b.text) for b, x in zip(found, outside, strict=True) if x) > sum(len(b.text) for b, x in zip(found, inside, strict=True) if x):
             inside = [a or b for a, b in zip(inside, outside, strict=True)]
         found = [b for b, x in zip(found, inside, strict=True) if x]
     return "\n\n".join(b.text for b in found)
 
 
-def _holds_main(node: Node) -> bool:
-    stack = [node]
+def _above_main(root: Node) -> set[int]:
+    """Elements that hold a main part somewhere below."""
+    out: set[int] = set()
+    stack = [root]
     while stack:
-        for x in stack.pop().items:
-            if not isinstance(x, str):
-                if x.name in _MAIN:
-                    return True
-                stack.append(x)
-    return False
-
-
+        node = stack.pop()
+        above = node.parent if node.name in _MAIN else None
+        while above is not None and id(above) not in out:
+            out.add(id(above))
+            above = above.parent
+        stack += [x for x in node.items if not isinstance(x, str)]
+    return out

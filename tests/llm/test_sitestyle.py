@@ -1,3 +1,8 @@
+import time
+import tracemalloc
+
+import pytest
+
 from quillspark.llm.sitestyle import MIN_PAGES, extract, host_of, main_text
 
 
@@ -73,10 +78,29 @@ def test_importance_like_brute_force(spark):
         n = len(values)
         return -sum(c / n * math.log(c / n) for c in Counter(values).values()) / math.log(n) if n > 1 else 1.0
 
+    def named(path):
+        name = 0
+        for style in path[1:].split("/"):
+            name = sitestyle.path_name(name, style)
+        return name
+
     want = {}
     for (host, path), rows in seen.items():
         share = sitestyle.PRESENTATION
-        want[sitestyle._hash(host), sitestyle._hash(path)] = (len(rows), round(share * entropy([s for _, s, _ in rows]) + (1 - share) * entropy([c for *_, c in rows]), 9))
+        want[sitestyle._hash(host), named(path)] = (len(rows), round(share * entropy([s for _, s, _ in rows]) + (1 - share) * entropy([c for *_, c in rows]), 9))
     table = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {(r.host, r.node): (r.n_pages, round(r.importance, 9)) for r in sitestyle.importance(table).collect()}
     assert got == want and len(want) > 8
+
+
+@pytest.mark.parametrize(("page", "count"), [("<article><p>" + "word <b>x</b> " * 100_000 + "</p></article>", 200_000), ("<article>" + "<span class='a'>t " * 50_000, 50_000), ("<div>" + "<div class='b'>t" * 20_000, 20_000)])
+def test_pages_of_many_pieces_and_deep_pages_take_linear_time_and_memory(page, count):
+    from quillspark.llm import sitestyle
+
+    tracemalloc.start()
+    began = time.time()
+    text = sitestyle.main_text(page, frozenset([1]), frozenset([2]))
+    rows = list(sitestyle.style_rows(iter([("http://h.org/", page)])))
+    assert len(text.split()) == count and rows
+    assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
