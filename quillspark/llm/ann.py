@@ -1,12 +1,14 @@
-"""Approximate nearest neighbours by additive quantisation.
-
-A vector is the sum of one full-dimensional codeword from each of several codebooks.
-Codebooks are fitted to residuals on a bounded sample; encoding keeps a beam of partial
-sums instead of the single best one. A query's lookup tables hold its inner product with
-every codeword, so a code is scored by adding table entries and, for distances, its
-stored norm. Codes alone are sent to the queries, packed in blocks; each block gives back
-a query's best few, the best of these over all blocks meet their original vectors again,
-and are ranked by the exact measure. What is found doesn't depend on the blocks.
+"""Nearest neighbours by additive quantisation, with a bound that loses none of them.
+
+A vector's direction is the sum of one full-dimensional codeword from each of several
+codebooks, and its length is stored beside the code. Codebooks are fitted to residuals on
+a bounded sample; encoding keeps a beam of partial sums instead of the single best one. A
+query's lookup tables hold its inner product with every codeword, so a code is scored by
+adding table entries. What a code leaves of a vector is stored as a length too: no inner
+product can be further from its table score than that times the query's length. A block
+of codes first gives a query's likeliest rows and so a score that its nearest reach; the
+original vectors of all rows that may reach it are then compared exactly. Where codes fit
+badly more rows are compared; none is lost, whatever the sample said.
 
 Equal vectors have equal codes and tie in every score, so they are indexed once, with as
 many of their smallest ids as a result can hold; no id beyond those can be in a result.
@@ -19,35 +21,42 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.common import small
 from quillspark.session import durable
 
 #: Vectors on which codebooks are fitted, at most.
 SAMPLE_ROWS = 8192
 CODEBOOKS, CODEWORDS, BEAM, ROUNDS = 32, 256, 4, 8
-#: Codes in a block and queries in a part, at most; codes that are reranked for each query.
-BLOCK_ROWS, QUERY_ROWS, RERANK = 1 << 17, 1 << 13, 256
-#: Queries that are scored at a time, and codes at a time.
-_STEP, _CODES = 128, 1 << 15
+#: Bytes of vectors in a block and in a part of the queries, about; codes whose vectors set a query's bound.
+BLOCK_BYTES, RERANK = 16 << 20, 256
+#: Queries that are scored at a time, and codes at a time (their scores fit in a core's cache).
+_STEP, _CODES = 128, 1024
 
 
 @dataclass
 class Codebooks:
     words: np.ndarray  # codebook, codeword, dimension
 
-    def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and the squared norms of the sums that they stand for."""
-        codes, norms = np.zeros((len(x), len(self.words)), np.uint8), np.zeros(len(x), np.float32)
+    def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the directions of ``x``, its lengths, and how far a direction's inner product with a unit vector may be from its table score."""
+        codes, norms, spreads = np.zeros((len(x), len(self.words)), np.uint8), lengths(x), np.zeros(len(x))
+        sizes = lengths(self.words.astype(np.float64).reshape(-1, self.words.shape[2])).reshape(self.words.shape[:2])
+        rounding = (self.words.shape[2] + len(self.words) + 16) * 2.0**-23
         for at in range(0, len(x), 1024):
             part = slice(at, at + 1024)
-            codes[part], norms[part] = self._encode(x[part].astype(np.float32), beam)
-        return codes, norms
-
-    def _encode(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+            unit = directions(x[part])
+            codes[part] = self._encode(unit.astype(np.float32), beam)
+            rest, size = unit, np.ones(len(unit))
+            for m, book in enumerate(self.words):
+                rest, size = rest - book[codes[part, m]], size + sizes[m, codes[part, m]]
+            spreads[part] = lengths(rest) + rounding * size
+        return codes, norms, spreads
+
+    def _encode(self, x: np.ndarray, beam: int) -> np.ndarray:
         n, d = x.shape
         residual, codes = x[:, None, :], np.zeros((n, 1, 0), np.int64)
         rows = np.arange(n)[:, None]
@@ -62,11 +71,23 @@ class Codebooks:
             codes = np.concatenate([codes[rows, parent], word[:, :, None]], axis=2)
         last = (residual**2).sum(2).argmin(1)
         rows = rows[:, 0]
-        return codes[rows, last].astype(np.uint8), ((x - residual[rows, last]) ** 2).sum(1)
+        return codes[rows, last].astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of queries with codewords: codebook, query, codeword."""
-        return np.einsum("qd,mkd->mqk", q.astype(np.float32), self.words, optimize=True)
+        """Inner products of queries with codewords: codebook, codeword, query."""
+        return np.ascontiguousarray(self.words @ q.astype(np.float32).T)
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths; the largest component is taken out first, so that no square overflows or vanishes."""
+    most = np.abs(x).max(1, initial=0)
+    return most * np.sqrt(((x / np.where(most > 0, most, 1)[:, None]) ** 2).sum(1))
+
+
+def directions(x: np.ndarray) -> np.ndarray:
+    """Rows (none is zero) at length one."""
+    scaled = x / np.abs(x).max(1, keepdims=True)
+    return scaled / np.sqrt((scaled**2).sum(1, keepdims=True))
 
 
 def fit(sample: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, rounds: int = ROUNDS, seed: int = 7) -> Codebooks:
@@ -114,44 +135,33 @@ def build_index(vectors: DataFrame, keep_ids: int) -> tuple[DataFrame, Codebooks
     """``(index rows, codebooks)`` over every usable vector.
 
     An index row is a distinct vector with its hash ``key``, its ``keep_ids`` smallest ids
-    (found in two steps, so that no task gathers a frequent vector's rows), code and norm.
+    (found in two steps, so that no task gathers a frequent vector's rows), code, length
+    and spread (see ``Codebooks.encode``).
     """
     salted = vectors.distinct().groupBy("vector", F.pmod(F.xxhash64("id"), F.lit(64)).alias("__salt")).agg(F.slice(F.array_sort(F.collect_list("id")), 1, keep_ids).alias("ids"))
     distinct = durable(salted.groupBy("vector").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep_ids).alias("ids")))
     sample = distinct.select("vector").orderBy(F.xxhash64("vector")).limit(SAMPLE_ROWS).toPandas()
     if sample.empty:
         return distinct, None
-    books = fit(np.array(sample["vector"].tolist()))
+    books = fit(directions(np.array(sample["vector"].tolist())))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                codes, norms = books.encode(np.array(frame["vector"].tolist()))
-                yield frame.assign(code=[c.tobytes() for c in codes], norm=norms)
+                codes, norms, spreads = books.encode(np.array(frame["vector"].tolist()))
+                yield frame.assign(code=[c.tobytes() for c in codes], norm=norms, spread=spreads)
 
     slots = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = distinct.repartition(slots).select(F.xxhash64("vector").alias("key"), "vector", "ids")
-    return durable(keyed.mapInPandas(run, "key long, vector array<double>, ids array<long>, code binary, norm float")), books
-
+    return durable(keyed.mapInPandas(run, "key long, vector array<double>, ids array<long>, code binary, norm double, spread double")), books
 
-def _packed(rows: DataFrame, at: str, ddl: str) -> DataFrame:
-    """One row for each value of ``at`` (about a block's rows), its other columns as binary."""
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        out = {at: [frame[at].iloc[0]]}
-        for name, column in frame.drop(columns=at).items():
-            if column.dtype == object:
-                own = [x if isinstance(x, bytes) else np.asarray(x, np.float64).tobytes() for x in column]
-                out[name] = [b"".join(own)]
-            else:
-                out[name] = [column.to_numpy().tobytes()]
-        return pd.DataFrame(out)
-
-    return rows.groupBy(at).applyInPandas(pack, ddl)
+def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
 def search(
-    table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK, measure: str = "inner", block_rows: int = BLOCK_ROWS
+    table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK, measure: str = "inner", block_rows: int | None = None
 ) -> DataFrame:
     """The ``k`` rows of ``table`` that are nearest to each query row.
 
@@ -167,55 +177,99 @@ def search(
     index, books = build_index(usable_vectors(table, id_col, vector_col), k + 1)
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, keep, by_distance = books.words.shape[2], max(rerank, k + 1), measure == "l2"
+    d, by_distance = books.words.shape[2], measure == "l2"
     asked = durable(usable_vectors(queries, id_col, vector_col).where(F.size("vector") == d).groupBy("id").agg(F.max("vector").alias("vector")))
-    n, slots = index.count(), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    blocks = max(-(-n // block_rows), min(slots, -(-n // 4096)))
-    parts = max(1, -(-asked.count() // QUERY_ROWS))
-    codes = _packed(index.select(F.pmod("key", F.lit(blocks)).cast("int").alias("block"), "key", "code", "norm"), "block", "block int, key binary, code binary, norm binary")
-    wanted = _packed(asked.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "vector"), "part", "part int, id binary, vector binary")
-    cells = durable(codes).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    wanted = durable(wanted).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def best(_: tuple, own: pd.DataFrame, asked_of: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
-        for key, code, norm in zip(own["key"], own["code"], own["norm"], strict=True):
-            stored = np.frombuffer(code, np.uint8).reshape(-1, len(books.words)), np.frombuffer(norm, np.float32) if by_distance else None, np.frombuffer(key, np.int64)
-            for ids, vectors in zip(asked_of["id"], asked_of["vector"], strict=True):
-                found += _nearest_codes(np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, d), *stored, books, keep)
-        return pd.DataFrame(found, columns=["query_id", "found"])
-
-    hits = cells.groupBy("block", "part").cogroup(wanted.groupBy("block", "part")).applyInPandas(best, "query_id long, found array<struct<away:float,key:long>>")
-    merged = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, keep).alias("found"))
-    near = merged.select("query_id", F.explode("found.key").alias("key")).distinct()
-    both = near.join(index.select("key", "vector", "ids"), "key").join(small(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), 8 * d + 32), "query_id")
-
-    def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                x, q = np.array(frame["vector"].tolist()), np.array(frame["q"].tolist())
-                score = -((x - q) ** 2).sum(1) if by_distance else (x * q).sum(1)
-                yield pd.DataFrame({"query_id": frame["query_id"], "score": score, "ids": frame["ids"]})
-
-    scored = both.mapInPandas(exact, "query_id long, score double, ids array<long>")
-    rows = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("query_id")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    n, rows = index.count(), block_rows or max(256, BLOCK_BYTES // (8 * d))
+    blocks = max(-(-n // rows), min(2 * spark.sparkContext.defaultParallelism, -(-n // 4096)))
+    parts = max(1, -(-asked.count() // rows))
+    # A cell is a block of the index and a part of the queries, each of bounded size; what it gives back is k + 1 rows for each query, in Arrow columns.
+    cells = index.select(
+        F.pmod("key", F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "key", F.col("ids")[0].alias("first"), "code", "norm", "spread", "vector",
+    )
+    wanted = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "vector")
+
+    def best(own: pa.Table, asked_of: pa.Table) -> pa.Table:
+        ids = asked_of["id"].to_numpy()
+        if len(ids) and own.num_rows:
+            codes = np.frombuffer(b"".join(own["code"].to_pylist()), np.uint8).reshape(-1, len(books.words))
+            block = Block(codes, own["norm"].to_numpy(), own["spread"].to_numpy(), _matrix(own["vector"], d), own["first"].to_numpy(), own["key"].to_numpy())
+            query, place, score = block.nearest(_matrix(asked_of["vector"], d), books, k + 1, max(rerank, k + 1), by_distance)
+        else:
+            query, place, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        first, key = (own[c].to_numpy()[place] if len(place) else place for c in ("first", "key"))
+        return pa.table({"query_id": ids[query], "away": -score, "first": first, "key": key})
+
+    hits = cells.groupBy("block", "part").cogroup(wanted.groupBy("block", "part")).applyInArrow(best, "query_id long, away double, first long, key long")
+    # Of the k + 1 nearest vectors by score and smallest id, one may hold the query's own id alone.
+    last = F.row_number().over(Window.partitionBy("query_id").orderBy("away", "first", "key"))
+    near = hits.withColumn("place", last).where(F.col("place") <= k + 1).select("query_id", "key", (-F.col("away")).alias("score"))
+    both = near.join(index.select("key", F.explode("ids").alias("vec_id")), "key").where(F.col("vec_id") != F.col("query_id"))
+    scored = both.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return rows.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _nearest_codes(ids: np.ndarray, q: np.ndarray, codes: np.ndarray, norms: np.ndarray | None, keys: np.ndarray, books: Codebooks, keep: int) -> list[tuple]:
-    """``query_id, found`` over one block: by table scores the ``keep`` best keys, those with the least ``away`` first."""
-    out = []
-    for at in range(0, len(q), _STEP):
-        tables = books.tables(q[at : at + _STEP])
-        score = np.empty((tables.shape[1], len(codes)), np.float32)
-        for lo in range(0, len(codes), _CODES):
-            part = slice(lo, lo + _CODES)
-            score[:, part] = tables[0][:, codes[part, 0]]
+    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+@dataclass
+class Block:
+    """Rows of an index: codes, lengths, spreads, vectors, smallest ids and keys."""
+
+    codes: np.ndarray
+    norms: np.ndarray
+    spreads: np.ndarray
+    vectors: np.ndarray
+    firsts: np.ndarray
+    keys: np.ndarray
+
+    def nearest(self, q: np.ndarray, books: Codebooks, most: int, keep: int, by_distance: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of queries, places in the block and exact scores of the ``most`` nearest rows of each query."""
+        out = []
+        for at in range(0, len(q), _STEP):
+            part = q[at : at + _STEP]
+            table = self._table_scores(books.tables(directions(part)))
+            for row, (own, size) in enumerate(zip(part, lengths(part), strict=True)):
+                place, score = self._nearest(own, size, table[row], most, keep, by_distance)
+                out.append((np.full(len(place), at + row), place, score))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _table_scores(self, tables: np.ndarray) -> np.ndarray:
+        """Inner products of directions by codes: query, row."""
+        score = np.empty((tables.shape[2], len(self.codes)), np.float32)
+        for lo in range(0, len(self.codes), _CODES):
+            codes = self.codes[lo : lo + _CODES]
+            total = tables[0][codes[:, 0]]
             for m in range(1, len(tables)):
-                score[:, part] += tables[m][:, codes[part, m]]
-        away = -score if norms is None else norms - 2 * score
-        near = np.argpartition(away, keep - 1, axis=1)[:, :keep] if keep < len(codes) else np.broadcast_to(np.arange(len(codes)), away.shape)
-        for row, own in enumerate(ids[at : at + _STEP].tolist()):
-            out.append((own, [{"away": a, "key": x} for a, x in zip(away[row, near[row]].tolist(), keys[near[row]].tolist(), strict=True)]))
-    return out
+                total += tables[m][codes[:, m]]
+            score[:, lo : lo + _CODES] = total.T
+        return score
+
+    def _nearest(self, q: np.ndarray, size: float, table: np.ndarray, most: int, keep: int, by_distance: bool) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(all="ignore"):
+            likely = self._worth(size, table * self.norms, by_distance)
+            n = len(likely)
+            if n <= 2 * keep:
+                near = np.arange(n)
+            else:  # the best of each of ``keep`` stretches: nearly the best of all, without a sort
+                wide = n // keep
+                near = likely[: wide * keep].reshape(keep, wide).argmax(1) + np.arange(keep) * wide
+            score = self._exact(q, near, by_distance)
+            if n > 2 * keep:
+                reached = np.partition(score, keep - most)[keep - most]
+                # What is not a number is compared too.
+                near = np.flatnonzero(~(self._worth(size, (table + self.spreads) * self.norms, by_distance, 2.0**-40) < reached))
+                score = self._exact(q, near, by_distance)
+            if len(score) > most:
+                good = np.flatnonzero(~(score < np.partition(score, len(score) - most)[len(score) - most]))
+                near, score = near[good], score[good]
+            order = np.lexsort((self.keys[near], self.firsts[near], -score))[:most]
+            return near[order], score[order]
+
+    def _worth(self, size: float, inner: np.ndarray, by_distance: bool, slack: float = 0.0) -> np.ndarray:
+        """Scores by inner products with the query's direction."""
+        return 2 * size * inner - (1 - slack) * (size * size + self.norms**2) if by_distance else size * inner
+
+    def _exact(self, q: np.ndarray, places: np.ndarray, by_distance: bool) -> np.ndarray:
+        out = np.empty(len(places))
+        for at in range(0, len(places), 4096):
+            x = self.vectors[places[at : at + 4096]]
+            out[at : at + 4096] = -((x - q) ** 2).sum(1) if by_distance else (x * q).sum(1)
+        return out
