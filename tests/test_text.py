@@ -212,3 +212,33 @@ def test_edit_distance_of_long_texts_takes_little_memory():
     assert guard.edit_distance(a, b) == len(a) - len(b)
     assert time.time() - began < 20 and tracemalloc.get_traced_memory()[1] < 32 << 20
     tracemalloc.stop()
+
+
+def test_sentences_and_tails_of_odd_texts_and_the_price_of_a_tail(spark):
+    """Random mixes of marks, closers, spaces and wide characters against plain Python; the end of a text is looked for from its end."""
+    import re
+
+    rng = random.Random(4)
+    odd = ["", "...", "a", "a.\x85", "。x", 'a."! b', " a. b", "𝒳𝒴. 𝒵", "x\x00.y﻿"] + ["".join(rng.choice("ab .!?。！？…\"'”’»)\n\x00𝒳中\x85") for _ in range(rng.randrange(30))) for _ in range(400)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, text string")
+    got = rows.select("i", T.normalise_space(F.col("text")).alias("n"), T.stable_sentences(F.col("text")).alias("s"), T.unfinished_tail(F.col("text")).alias("t")).collect()
+    space, marks = re.compile(T.SPACE.replace("\\t", "\t").replace("\\r", "\r") + "+"), ".!?。！？…"
+    clean = lambda x: space.sub(" ", x).strip(" ")
+    for r in got:
+        assert r.s == [y for y in (clean(x) for x in re.findall(rf"[^{marks}]+[{marks}]+[\"'”’»)]*", r.n)) if y]
+        rest = re.sub("^[\"'”’»)]*", "", re.search(f"[^{marks}]*\\Z", r.n)[0])
+        assert r.t == clean(rest if re.search(f"[^{marks}][{marks}]", r.n) else r.n)
+    long = spark.createDataFrame([("Some words – “and more” – that end. 更多的话。 " * 100_000,)], "n string").repartition(1).persist()
+
+    def seconds(column) -> float:
+        each = []
+        for _ in range(3):
+            start = time.perf_counter()
+            long.select(F.length(column)).collect()
+            each.append(time.perf_counter() - start)
+        return min(each)
+
+    plain = seconds(F.col("n"))
+    before = seconds(F.regexp_extract("n", r"(?<![^.!?。！？…])[^.!?。！？…]*+$", 0)) - plain
+    assert seconds(F.regexp_replace("n", r"(?s)\A.*[.!?。！？…]", "")) - plain < 0.5 * before
+    assert seconds(T.unfinished_tail(F.col("n"))) - seconds(T.normalise_space(F.col("n"))) < before
