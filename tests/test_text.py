@@ -242,3 +242,15 @@ def test_sentences_and_tails_of_odd_texts_and_the_price_of_a_tail(spark):
     before = seconds(F.regexp_extract("n", r"(?<![^.!?。！？…])[^.!?。！？…]*+$", 0)) - plain
     assert seconds(F.regexp_replace("n", r"(?s)\A.*[.!?。！？…]", "")) - plain < 0.5 * before
     assert seconds(T.unfinished_tail(F.col("n"))) - seconds(T.normalise_space(F.col("n"))) < before
+
+
+def test_a_python_worker_gets_batches_of_bounded_bytes(spark):
+    """4,000 texts of 10,000 characters came as one batch of 40 MB."""
+    from quillspark.functions.arrow import BATCH_BYTES, arrow_function
+
+    @arrow_function("int")
+    def together(text):
+        return text.map(lambda _: len(text))
+
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("0123456789"), 1000).alias("text"))
+    assert rows.select(together(F.col("text")).alias("n")).agg(F.max("n")).first()[0] <= 2 * BATCH_BYTES // 10_000
