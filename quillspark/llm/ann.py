@@ -12,6 +12,10 @@ badly more rows are compared; none is lost, whatever the sample said.
 
 Equal vectors have equal codes and tie in every score, so they are indexed once, with as
 many of their smallest ids as a result can hold; no id beyond those can be in a result.
+
+An inner product is one of vectors of equal length: a query is compared with all rows of
+its own. Each of the most frequent lengths has codebooks; rows of the others have none,
+and are all compared exactly.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ SAMPLE_ROWS = 8192
 CODEBOOKS, CODEWORDS, BEAM, ROUNDS = 32, 256, 4, 8
 #: Bytes of vectors in a block and in a part of the queries, about; codes whose vectors set a query's bound.
 BLOCK_BYTES, RERANK = 16 << 20, 256
+#: Lengths of vectors with codebooks, at most, and rows that a length must have for them.
+CODED_LENGTHS, CODED_ROWS = 8, 64
 #: Queries that are scored at a time, and codes at a time (their scores fit in a core's cache).
 _STEP, _CODES = 128, 1024
 
@@ -117,43 +123,46 @@ def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``id, vector`` rows (doubles) that take part in a search.
 
     Left out are null ids and vectors that are null, empty, zero or hold null or
-    non-finite components, and vectors of another length than the most frequent one
-    (the smallest of those that tie).
+    non-finite components.
     """
     vector = F.col(vector_col).cast("array<double>")
-    rows = table.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector")).where(
+    return table.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector")).where(
         F.col("id").isNotNull()
         & F.col("vector").isNotNull()
         & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("vector", lambda x: x != 0)
     )
-    lengths = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("vector") == (lengths["d"] if lengths else 0))
 
 
-def build_index(vectors: DataFrame, keep_ids: int) -> tuple[DataFrame, Codebooks | None]:
-    """``(index rows, codebooks)`` over every usable vector.
+def build_index(vectors: DataFrame, keep_ids: int) -> tuple[DataFrame, dict[int, Codebooks]]:
+    """``(index rows, codebooks by length)`` over every usable vector.
 
-    An index row is a distinct vector with its hash ``key``, its ``keep_ids`` smallest ids
-    (found in two steps, so that no task gathers a frequent vector's rows), code, length
-    and spread (see ``Codebooks.encode``).
+    An index row is a distinct vector with its length ``d``, its hash ``key``, its
+    ``keep_ids`` smallest ids (found in two steps, so that no task gathers a frequent
+    vector's rows), code, Euclidean length and spread (see ``Codebooks.encode``). Where a
+    length has no codebooks the code is empty and the spread infinite.
     """
     salted = vectors.distinct().groupBy("vector", F.pmod(F.xxhash64("id"), F.lit(64)).alias("__salt")).agg(F.slice(F.array_sort(F.collect_list("id")), 1, keep_ids).alias("ids"))
-    distinct = durable(salted.groupBy("vector").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep_ids).alias("ids")))
-    sample = distinct.select("vector").orderBy(F.xxhash64("vector")).limit(SAMPLE_ROWS).toPandas()
-    if sample.empty:
-        return distinct, None
-    books = fit(directions(np.array(sample["vector"].tolist())))
+    distinct = durable(salted.groupBy("vector").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep_ids).alias("ids")).withColumn("d", F.size("vector")))
+    coded = distinct.groupBy("d").count().where(F.col("count") >= CODED_ROWS).orderBy(F.desc("count"), "d").limit(CODED_LENGTHS).select("d").collect()
+    books = {}
+    for (d,) in coded:
+        sample = distinct.where(F.col("d") == d).select("vector").orderBy(F.xxhash64("vector")).limit(SAMPLE_ROWS).toPandas()
+        books[d] = fit(directions(np.array(sample["vector"].tolist())))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if len(frame):
-                codes, norms, spreads = books.encode(np.array(frame["vector"].tolist()))
-                yield frame.assign(code=[c.tobytes() for c in codes], norm=norms, spread=spreads)
+            for d, rows in frame.groupby("d"):
+                x = np.array(rows["vector"].tolist())
+                if d in books:
+                    codes, norms, spreads = books[d].encode(x)
+                    yield rows.assign(code=[c.tobytes() for c in codes], norm=norms, spread=spreads)
+                else:
+                    yield rows.assign(code=b"", norm=lengths(x), spread=np.inf)
 
     slots = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    keyed = distinct.repartition(slots).select(F.xxhash64("vector").alias("key"), "vector", "ids")
-    return durable(keyed.mapInPandas(run, "key long, vector array<double>, ids array<long>, code binary, norm double, spread double")), books
+    keyed = distinct.repartition(slots).select("d", F.xxhash64("vector").alias("key"), "vector", "ids")
+    return durable(keyed.mapInPandas(run, "d int, key long, vector array<double>, ids array<long>, code binary, norm double, spread double")), books
 
 
 def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
@@ -169,37 +178,40 @@ def search(
     distance, whose negative is the score. One row ``query_id, rank, vec_id, score`` for
     each place; ties go to the smaller id, a query's own id is no candidate, and there are
     fewer rows where there are fewer candidates. ``queries`` has the two columns as well.
-    See ``usable_vectors`` for what takes no part; repeated rows of an id and vector count
+    Only vectors of a query's own length are compared with it. See ``usable_vectors`` for
+    what takes no part; repeated rows of an id and vector count
     once, and a query id that has several vectors is answered for its largest vector in
     array order. Empty tables give no rows, other columns are not read.
     """
     spark = table.sparkSession
     index, books = build_index(usable_vectors(table, id_col, vector_col), k + 1)
-    if books is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, by_distance = books.words.shape[2], measure == "l2"
-    asked = durable(usable_vectors(queries, id_col, vector_col).where(F.size("vector") == d).groupBy("id").agg(F.max("vector").alias("vector")))
-    n, rows = index.count(), block_rows or max(256, BLOCK_BYTES // (8 * d))
-    blocks = max(-(-n // rows), min(2 * spark.sparkContext.defaultParallelism, -(-n // 4096)))
-    parts = max(1, -(-asked.count() // rows))
-    # A cell is a block of the index and a part of the queries, each of bounded size; what it gives back is k + 1 rows for each query, in Arrow columns.
-    cells = index.select(
-        F.pmod("key", F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "key", F.col("ids")[0].alias("first"), "code", "norm", "spread", "vector",
+    asked = durable(usable_vectors(queries, id_col, vector_col).groupBy("id").agg(F.max("vector").alias("vector")).withColumn("d", F.size("vector")))
+    by_distance, cores = measure == "l2", spark.sparkContext.defaultParallelism
+    # A cell is a block of the index and a part of the queries of one length, each of bounded size; what it gives back is k + 1 rows for each query, in Arrow columns.
+    rows = F.lit(block_rows) if block_rows else F.greatest(F.lit(256), F.floor(F.lit(BLOCK_BYTES // 8) / F.col("d")))
+    blocks = F.greatest(F.ceil(F.col("n") / rows), F.least(F.lit(2 * cores), F.ceil(F.col("n") / 4096))).cast("int")
+    parts = F.ceil(F.col("m") / rows).cast("int")
+    sizes = index.groupBy("d").agg(F.count("*").alias("n")).join(asked.groupBy("d").agg(F.count("*").alias("m")), "d")
+    grid = durable(sizes.select("d", blocks.alias("blocks"), parts.alias("parts")))
+    cells = index.join(grid, "d").select(
+        "d", F.pmod("key", F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", F.col("ids")[0].alias("first"), "code", "norm", "spread", "vector",
     )
-    wanted = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "vector")
+    wanted = asked.join(grid, "d").select("d", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "vector")
 
     def best(own: pa.Table, asked_of: pa.Table) -> pa.Table:
         ids = asked_of["id"].to_numpy()
         if len(ids) and own.num_rows:
-            codes = np.frombuffer(b"".join(own["code"].to_pylist()), np.uint8).reshape(-1, len(books.words))
+            d = own["d"][0].as_py()
+            known = books.get(d, Codebooks(np.zeros((0, 1, d), np.float32)))
+            codes = np.frombuffer(b"".join(own["code"].to_pylist()), np.uint8).reshape(own.num_rows, len(known.words))
             block = Block(codes, own["norm"].to_numpy(), own["spread"].to_numpy(), _matrix(own["vector"], d), own["first"].to_numpy(), own["key"].to_numpy())
-            query, place, score = block.nearest(_matrix(asked_of["vector"], d), books, k + 1, max(rerank, k + 1), by_distance)
+            query, place, score = block.nearest(_matrix(asked_of["vector"], d), known, k + 1, max(rerank, k + 1), by_distance)
         else:
             query, place, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         first, key = (own[c].to_numpy()[place] if len(place) else place for c in ("first", "key"))
         return pa.table({"query_id": ids[query], "away": -score, "first": first, "key": key})
 
-    hits = cells.groupBy("block", "part").cogroup(wanted.groupBy("block", "part")).applyInArrow(best, "query_id long, away double, first long, key long")
+    hits = cells.groupBy("d", "block", "part").cogroup(wanted.groupBy("d", "block", "part")).applyInArrow(best, "query_id long, away double, first long, key long")
     # Of the k + 1 nearest vectors by score and smallest id, one may hold the query's own id alone.
     last = F.row_number().over(Window.partitionBy("query_id").orderBy("away", "first", "key"))
     near = hits.withColumn("place", last).where(F.col("place") <= k + 1).select("query_id", "key", (-F.col("away")).alias("score"))
@@ -236,9 +248,9 @@ class Block:
         score = np.empty((tables.shape[2], len(self.codes)), np.float32)
         for lo in range(0, len(self.codes), _CODES):
             codes = self.codes[lo : lo + _CODES]
-            total = tables[0][codes[:, 0]]
-            for m in range(1, len(tables)):
-                total += tables[m][codes[:, m]]
+            total = np.zeros((len(codes), tables.shape[2]), np.float32)
+            for m, table in enumerate(tables):
+                total += table[codes[:, m]]
             score[:, lo : lo + _CODES] = total.T
         return score
 

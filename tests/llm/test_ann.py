@@ -39,3 +39,23 @@ def test_memory_of_a_cell_follows_its_rows_and_results():
     tracemalloc.stop()
     assert len(query) == len(place) == len(score) == 6000 * 21
     assert peak < 64 << 20
+
+
+def test_every_length_of_vectors_is_searched(spark, monkeypatch):
+    """Three lengths with a third of the rows each, and one with three rows: before, only the most frequent length took part."""
+    rng = np.random.default_rng(9)
+    size = lambda i: 5 if i in (0, 41, 80) else (64, 32, 48)[i % 3]
+    x = [rng.normal(size=size(i)) * np.exp(rng.normal()) for i in range(2400)]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+    def check():
+        got: dict[int, list[int]] = {}
+        for r in sorted(ann.search(table, table.where("vec_id % 40 = 0"), k=20, rerank=32).collect()):
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        for q in range(0, 2400, 40):
+            others = [i for i in range(2400) if i != q and len(x[i]) == len(x[q])]
+            assert got[q] == sorted(others, key=lambda i: (-(x[i] * x[q]).sum(), i))[:20]
+
+    check()
+    monkeypatch.setattr(ann, "CODED_LENGTHS", 1)
+    check()
