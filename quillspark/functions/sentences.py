@@ -17,7 +17,7 @@ from quillspark.functions.vocabulary import ABBREVIATIONS
 
 _MARKS = re.compile(r"[.!?…。！？]+")
 _CLOSERS = re.compile("[\"'’”»)\\]}）］｝]*")
-_TOKEN_END = re.compile(r"[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*$")
+_TOKEN_BACK = re.compile(r"[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*")
 _ADDRESS = re.compile(r"(?:https?://|www\.|@)\S*$", re.I)
 _DOTTED = re.compile(r"[A-Za-z](?:\.[A-Za-z])+")
 _BREAK = re.compile(r"\n{2,}")
@@ -43,8 +43,8 @@ def _is_end(text: str, start: int, stop: int) -> bool:
     joined = bool(after) and (after.isalpha() or after.isnumeric())
     if joined and _ADDRESS.search(text[max(0, start - 200) : start]):
         return False
-    found = _TOKEN_END.search(text[max(0, start - 200) : start])
-    token = found[0] if found else ""
+    found = _TOKEN_BACK.match(text[max(0, start - 200) : start][::-1])  # read backwards: a search would try every place before it
+    token = found[0][::-1] if found else ""
     if token.lower() in ABBREVIATIONS or _DOTTED.fullmatch(token):
         return False
     if len(token) == 1 and token.isalpha() and following and following.isalpha() and _starts_sentence(following):
