@@ -254,3 +254,44 @@ def test_a_python_worker_gets_batches_of_bounded_bytes(spark):
 
     rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("0123456789"), 1000).alias("text"))
     assert rows.select(together(F.col("text")).alias("n")).agg(F.max("n")).first()[0] <= 2 * BATCH_BYTES // 10_000
+
+
+def test_a_rewriting_is_compared_without_trying_every_pair_of_tokens(monkeypatch):
+    """Two texts of 2,000 different words: before, 4,000,000 pairs were compared, now those with an end in common."""
+    rng, calls, plain = random.Random(3), [], guard._one_edit
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(4000)]
+    monkeypatch.setattr(guard, "_one_edit", lambda a, b: calls.append(1) or plain(a, b))
+    guard.check(" ".join(words[:2000]), " ".join(words[2000:]))
+    assert len(calls) < 100_000
+
+
+def test_vocabulary_finds_what_comparing_every_item_finds():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abs", k=rng.randint(1, 11)))
+    for _ in range(300):
+        items = [word() for _ in range(5)]
+        known = guard.Vocabulary(items)
+        for t in [word() for _ in range(10)] + [x + "s" for x in items] + [x[1:] for x in items if x[1:]] + [x[:2] + "b" + x[3:] for x in items]:
+            assert (t in known) == any(guard.equivalent(t, x) for x in items)
+
+
+def test_repeats_are_looked_for_only_where_there_may_be_some(monkeypatch):
+    """Before, each text was searched for repeated sentences of any length at every space."""
+    pattern = type("Never", (), {"sub": lambda *_: pytest.fail("searched"), "search": lambda *_: pytest.fail("searched")})()
+    found = guard._SENTENCE_TWICE
+    rng = random.Random(2)
+    for _ in range(2000):
+        text = " ".join(rng.choice(["One two.", "one two.", "Été!", "été!", "a.", "  .", "ſo.", "So.", "x", "\n"]) for _ in range(6))
+        assert guard.may_repeat(text) or not found.search(text)
+    monkeypatch.setattr(guard, "_SENTENCE_TWICE", pattern)
+    assert guard.remove_repeats("One here. Two there. Three of them.") == "One here. Two there. Three of them."
+
+
+def test_coverage_of_long_texts_does_not_try_every_pair(spark):
+    """6,000 different tokens against as many others: before, 36 million pairs were compared in one row."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(12_000)]
+    rows = spark.createDataFrame([(" ".join(words[:6000] + ["Kalman", "filters"]), " ".join(words[6000:] + ["kalmans", "filter"]))], "a string, b string")
+    began = time.perf_counter()
+    assert rows.select(T.token_coverage(F.col("a"), F.col("b"))).first()[0] == 2 / 6002
+    assert time.perf_counter() - began < 20
