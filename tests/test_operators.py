@@ -251,3 +251,16 @@ def test_query_like_sql(spark, duck, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["doc_id", "item_id", "shared", "score", "rank"]
+
+
+def test_tasks_of_a_retrieval_follow_the_number_of_queries(spark):
+    """Before, terms were dealt to as many tasks as the session shuffles to, whatever the table; a task grew with it."""
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert retrieval.task_slots(spark.range(10)) == slots
+    assert retrieval.task_slots(spark.range(retrieval.TASK_QUERIES * (slots + 3))) == slots + 3
+
+
+def test_acronyms_are_whole_tokens(spark):
+    docs = spark.createDataFrame([(1, "The GPU, a NLP2 and xABC"), (2, "GPUs ÉABC _CNN"), (3, None), (4, "(CNN)GPU")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "GPU"), (8, "ABC NLP"), (9, "CNN")], "item_id long, text string")
+    assert sorted(map(tuple, retrieval.acronym_matches(docs, items, "doc_id").collect())) == [(1, 7), (4, 7), (4, 9)]
