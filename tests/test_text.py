@@ -257,7 +257,7 @@ def test_a_python_worker_gets_batches_of_bounded_bytes(spark):
 
 
 def test_a_rewriting_is_compared_without_trying_every_pair_of_tokens(monkeypatch):
-    """Two texts of 2,000 different words: before, 4,000,000 pairs were compared, now those with an end in common."""
+    """Two texts of 2,000 different words: before, 12,000,000 comparisons were made, now those with an end in common."""
     rng, calls, plain = random.Random(3), [], guard._one_edit
     words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(4000)]
     monkeypatch.setattr(guard, "_one_edit", lambda a, b: calls.append(1) or plain(a, b))
